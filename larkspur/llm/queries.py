@@ -5,9 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from larkspur.llm.common import table
+from larkspur.llm.common import remainder, table
+from larkspur.llm.language_id import identify
 from larkspur.llm.minhash_dedup import near_duplicates
+from larkspur.llm.mixing import mix
+from larkspur.llm.quality import classify
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,8 +20,26 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", remainder(F.col("doc_id"), 5) == 0)
+    return identify(docs, ~F.col("held_out")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = remainder(F.col("doc_id"), 5) == 0
+    scored = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op2_language_id": op2_language_id,
+    "op3_quality": op3_quality,
+    "op6_mixing": op6_mixing,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -43,4 +65,38 @@ SQL: dict[str, str] = {
             coalesce(m.root, d.doc_id) = d.doc_id AS kept
         FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.src = d.doc_id
     """,
+    "op6_mixing": """
+        WITH z AS (
+            SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents
+        ),
+        g AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM z GROUP BY source),
+        w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM g),
+        l AS (
+            SELECT *, (sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER (ORDER BY source_size / weight, weight, source NULLS LAST
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+                / sum(weight) OVER (ORDER BY source_size / weight, weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE AS level
+            FROM w
+        ),
+        f AS (SELECT *, level * weight >= 3 * source_size AS filled FROM l),
+        t AS (
+            SELECT source, source_size, CASE WHEN filled THEN source_size * 3.0::DOUBLE ELSE
+                (SELECT arg_min(level, (source_size / weight, weight)) FROM f WHERE NOT filled) * weight END AS target,
+                md5('1|' || coalesce('s' || source, '-')) AS h
+            FROM f
+        ),
+        u AS (
+            SELECT source, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS expected,
+                (((((instr('0123456789abcdef', h[1]) - 1) * 16 + instr('0123456789abcdef', h[2]) - 1) * 16 + instr('0123456789abcdef', h[3]) - 1) * 16
+                    + instr('0123456789abcdef', h[4]) - 1) * 16 + instr('0123456789abcdef', h[5]) - 1) / 1048576.0::DOUBLE AS off
+            FROM t
+        ),
+        p AS (
+            SELECT *, row_number() OVER (PARTITION BY source ORDER BY length(bin(size)) * 16 + (size >> greatest(length(bin(size)) - 3, 0)),
+                coalesce(doc_id, 0) % 64, size, doc_id) AS i
+            FROM z
+        )
+        SELECT p.doc_id, p.size, u.source_size, CAST(u.target AS DOUBLE) AS target,
+            CAST((floor(p.i * u.expected + u.off) - floor((p.i - 1) * u.expected + u.off)) * p.size AS BIGINT) AS taken
+        FROM p JOIN u ON p.source IS NOT DISTINCT FROM u.source
+    """,
 }
