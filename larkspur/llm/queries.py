@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import public_tokenizers
+
+from larkspur.llm import ann, embedding_dedup
 from larkspur.llm.common import remainder, table
 from larkspur.llm.language_id import identify
 from larkspur.llm.minhash_dedup import near_duplicates
 from larkspur.llm.mixing import mix
+from larkspur.llm.packing import pack
 from larkspur.llm.quality import classify
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,11 +39,26 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
+
+
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_language_id": op2_language_id,
     "op3_quality": op3_quality,
     "op6_mixing": op6_mixing,
+    "op7_packing": op7_packing,
+    "op8_ann": op8_ann,
+    "op9_embedding_dedup": op9_embedding_dedup,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
