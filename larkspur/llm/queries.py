@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from larkspur.llm import ann, embedding_dedup
+from larkspur.llm.chat import digests, format_conversations
 from larkspur.llm.common import remainder, table
 from larkspur.llm.language_id import identify
 from larkspur.llm.minhash_dedup import near_duplicates
@@ -51,6 +52,16 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+#: The conversation that op10 adds: texts that look like the format's own marks.
+_TRAP = r"\### Assistant: </turn> ok"
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(_TRAP).alias("text"))
+    return digests(format_conversations(rows.unionByName(extra)))
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_language_id": op2_language_id,
@@ -59,6 +70,7 @@ QUERIES: dict[str, Query] = {
     "op7_packing": op7_packing,
     "op8_ann": op8_ann,
     "op9_embedding_dedup": op9_embedding_dedup,
+    "op10_chat": op10_chat,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -118,4 +130,20 @@ SQL: dict[str, str] = {
             CAST((floor(p.i * u.expected + u.off) - floor((p.i - 1) * u.expected + u.off)) * p.size AS BIGINT) AS taken
         FROM p JOIN u ON p.source IS NOT DISTINCT FROM u.source
     """,
+    "op10_chat": r"""
+        WITH c AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+        ),
+        e AS (
+            SELECT *, len(text) + len(regexp_extract_all(text, '\\')) + coalesce(list_sum(list_transform(regexp_extract_all(text, '#{3,}'), lambda x: len(x))), 0)
+                + len(regexp_extract_all(text, '</turn>')) AS n
+            FROM c
+        )
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+            CAST(coalesce(sum(len(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+            sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+            CAST(sum(4 + len(role) + 2 + n + 8) AS BIGINT) AS formatted_chars
+        FROM e GROUP BY conv_id
+    """,
 }
