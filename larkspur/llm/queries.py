@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from larkspur.llm import ann, embedding_dedup
+from larkspur.llm import ann, ctw, embedding_dedup
 from larkspur.llm.chat import digests, format_conversations
 from larkspur.llm.common import remainder, table
 from larkspur.llm.language_id import identify
@@ -36,6 +36,12 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op5_ctw_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = remainder(F.col("doc_id"), 10) == 0
+    scored = ctw.score(table(spark, sf_dir, "documents"), ~held_out)
+    return scored.withColumn("held_out", held_out)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -66,6 +72,7 @@ QUERIES: dict[str, Query] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_language_id": op2_language_id,
     "op3_quality": op3_quality,
+    "op5_ctw_score": op5_ctw_score,
     "op6_mixing": op6_mixing,
     "op7_packing": op7_packing,
     "op8_ann": op8_ann,
