@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from larkspur.llm import ann, ctw, embedding_dedup
+from larkspur.llm import ann, ctw, embedding_dedup, secrets
 from larkspur.llm.chat import digests, format_conversations
 from larkspur.llm.common import remainder, table
 from larkspur.llm.language_id import identify
@@ -36,6 +36,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_ctw_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = remainder(F.col("doc_id"), 10) == 0
     scored = ctw.score(table(spark, sf_dir, "documents"), ~held_out)
@@ -72,6 +76,7 @@ QUERIES: dict[str, Query] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_language_id": op2_language_id,
     "op3_quality": op3_quality,
+    "op4_secrets": op4_secrets,
     "op5_ctw_score": op5_ctw_score,
     "op6_mixing": op6_mixing,
     "op7_packing": op7_packing,
