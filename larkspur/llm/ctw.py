@@ -101,7 +101,8 @@ def _count(depth: int, buckets: int, flush_bytes: int = 24 << 20):
             keys, counts = _merge([p[0] for p in pieces], [p[1] for p in pieces])
             where = (keys >> np.uint64(8)) & np.uint64(0xFFFF) if kind == 0 else keys
             bucket = ((where * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % buckets
-            order = np.argsort(bucket, kind="stable")
+            del where
+            order = np.argsort(bucket, kind="stable").astype(np.int32)
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
             rows = [(b, order[cuts[b] : cuts[b + 1]]) for b in range(buckets) if cuts[b] < cuts[b + 1]]
             yield pa.RecordBatch.from_arrays(
@@ -109,16 +110,23 @@ def _count(depth: int, buckets: int, flush_bytes: int = 24 << 20):
                 ["kind", "bucket", "keys", "counts"],
             )
 
+    def add(pieces: list, keys: np.ndarray) -> None:
+        """One more sorted piece; pieces of like size are merged at once, so few are held."""
+        pieces.append(_counted(keys))
+        while len(pieces) > 1 and len(pieces[-2][0]) < 2 * len(pieces[-1][0]):
+            b, a = pieces.pop(), pieces.pop()
+            pieces.append(_merge([a[0], b[0]], [a[1], b[1]]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {0: [], 1: []}
         size = 0
         for batch in batches:
-            for part in parts(batch, 1 << 21):
+            for part in parts(batch, 1 << 20):
                 raw, off = buffer_of(part.column("text"))
                 out, _, at = stream(raw, off, depth)
-                held[0].append(_counted(grams(out, at, depth)))
+                add(held[0], grams(out, at, depth))
                 words, _ = word_hashes(raw, off)
-                held[1].append(_counted(np.append(words, np.full(len(off) - 1, _END_HASH, np.uint64))))
+                add(held[1], np.append(words, np.full(len(off) - 1, _END_HASH, np.uint64)))
                 size += len(raw)
                 if size >= flush_bytes:
                     yield from blocks(held)
@@ -289,7 +297,7 @@ def _score(shared, depth: int, norm: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, known, known_log = shared.value
         for batch in batches:
-            for part in parts(batch, 1 << 21):
+            for part in parts(batch, 1 << 20):
                 raw, off = buffer_of(part.column("text"))
                 out, base, at = stream(raw, off, depth)
                 total = np.concatenate(([0.0], np.cumsum(tree.costs(out, at))))
