@@ -14,7 +14,7 @@ def flagship(spark, sf_dir):
 
 
 FLAGSHIP = """
-    SELECT n_name, CAST(sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18, 2))) AS DOUBLE) AS revenue, count(DISTINCT o_orderkey) AS orders
+    SELECT n_name, CAST(sum(CAST(l_extendedprice AS DECIMAL(12, 2)) * (1 - CAST(l_discount AS DECIMAL(4, 2)))) AS DOUBLE) AS revenue, count(DISTINCT o_orderkey) AS orders
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
     WHERE year(o_orderdate) = 1995 GROUP BY n_name
 """

@@ -37,7 +37,8 @@ def _value(v: Any) -> Any:
 def to_arrow(f: ds.Filter) -> pc.Expression:
     """The filter as a pyarrow dataset expression."""
     if isinstance(f, ds.Not):
-        return ~to_arrow(f.child)
+        inner = to_arrow(f.child)
+        return pc.field(_name(f.child)).is_valid() & ~inner if isinstance(f.child, ds.In) else ~inner  # a null is never "not in"
     field = pc.field(_name(f))
     if type(f) in _COMPARE:
         return _COMPARE[type(f)](field, pc.scalar(_value(f.value)))
