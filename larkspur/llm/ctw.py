@@ -216,27 +216,43 @@ def _kt(heap: np.ndarray) -> np.ndarray:
     return (heap[:, 1::2] + 0.5) / (heap[:, 0::2] + heap[:, 1::2] + 1)
 
 
+def _byte_costs(one: np.ndarray) -> np.ndarray:
+    """log10 probabilities of the 256 bytes from those of a one-bit at each prefix."""
+    path = np.zeros((len(one), 512))
+    for i in range(8):
+        lo, hi = 1 << i, 2 << i
+        path[:, 2 * lo : 2 * hi : 2] = path[:, lo:hi] + np.log10(1 - one[:, lo:hi])
+        path[:, 2 * lo + 1 : 2 * hi : 2] = path[:, lo:hi] + np.log10(one[:, lo:hi])
+    return path[:, 256:]
+
+
+def _in_rows(fn, x: np.ndarray, kind: type = np.float64, *, whole: bool = True, rows: int = 2048) -> np.ndarray:
+    """fn of the rows of x (of their bit-prefix counts, if ``whole``), some at a time, which bounds its temporaries."""
+    out = np.empty((len(x), 256), kind)
+    for i in range(0, len(x), rows):
+        out[i : i + rows] = fn(_heap(x[i : i + rows]) if whole else x[i : i + rows])
+    return out
+
+
 class ContextTree:
     """The frozen mixture: ``child[node, byte before]`` (0: none) and ``cost[node, byte]`` in log10."""
 
     def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]], depth: int):
         """levels[d]: sorted (context, byte) strings of depth d and their counts."""
-        contexts, tables = [], []
+        contexts: list[np.ndarray] = []
+        entries: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # (row, byte, count) of each depth
         for d in range(depth + 1):
             keys, counts = levels[d] if d < len(levels) else (np.empty(0, np.uint64), np.empty(0, np.int64))
             context, back = np.unique(keys >> np.uint64(8), return_inverse=True)
             if d and len(context):  # a child hangs on a kept parent
                 below = np.uint64((1 << 8 * (d - 1)) - 1)
-                held = np.isin(context & below, contexts[d - 1])
-                keep = held[back]
+                keep = np.isin(context & below, contexts[d - 1])[back]
                 keys, counts = keys[keep], counts[keep]
                 context, back = np.unique(keys >> np.uint64(8), return_inverse=True)
             if d == 0 and not len(context):
                 context = np.zeros(1, np.uint64)
-            table = np.zeros((len(context), 256))
-            np.add.at(table, (back, (keys & np.uint64(255)).astype(np.int64)), counts)
             contexts.append(context)
-            tables.append(table)
+            entries.append((back.astype(np.int32), (keys & np.uint64(255)).astype(np.uint8), counts))
         first = np.cumsum([1, *map(len, contexts)])
         total = int(first[-1])
         self.child = np.zeros((total, 256), np.int32)
@@ -246,40 +262,46 @@ class ContextTree:
             up = np.searchsorted(contexts[d - 1], contexts[d] & below)
             parents.append(up)
             self.child[first[d - 1] + up, (contexts[d] >> np.uint64(8 * (d - 1))).astype(np.int64)] = first[d] + np.arange(len(contexts[d]))
-        rest, weight = [], [np.empty(0)] * (depth + 1)
+
+        def table(d: int) -> np.ndarray:
+            out = np.zeros((len(contexts[d]), 256))
+            row, byte, counts = entries[d]
+            out[row, byte] = counts
+            return out
+
+        def others(d: int) -> np.ndarray:
+            """What a node's kept children leave."""
+            out = table(d)
+            if len(contexts[d + 1]):
+                row, byte, counts = entries[d + 1]
+                np.subtract.at(out, (parents[d + 1][row], byte), counts)
+            return np.maximum(out, 0, out=out)
+
+        weight: list[np.ndarray] = [np.empty((0, 256), np.float32)] * (depth + 1)
         weighted = np.empty((0, 256))
         for d in range(depth, -1, -1):
-            own = _block(_heap(tables[d]))
+            own = _in_rows(_block, table(d))
             if d == depth:
-                rest.insert(0, np.zeros((0, 256)))
-                weight[d] = np.ones_like(own)
-                weighted = own
+                weight[d], weighted = np.ones(own.shape, np.float32), own
                 continue
-            other = tables[d].copy()
-            below = np.zeros_like(own)
+            below = _in_rows(_block, others(d))
             if len(contexts[d + 1]):
-                np.subtract.at(other, parents[d + 1], tables[d + 1])
                 np.add.at(below, parents[d + 1], weighted)
-            rest.insert(0, np.maximum(other, 0))
-            below += _block(_heap(rest[0]))
             weighted = np.logaddexp(own, below) - np.log(2)
-            weight[d] = np.exp(own - np.log(2) - weighted)
+            weight[d] = np.exp(own - np.log(2) - weighted).astype(np.float32)
+        del below, own, weighted
         self.cost = np.zeros((total, 256), np.float32)
         self.cost[0] = -8 * np.log10(2)
         mixed = left = np.empty(0)
         for d in range(depth + 1):
-            kt = _kt(_heap(tables[d]))
+            kt = _in_rows(_kt, table(d))
             before = (np.zeros_like(kt), np.ones_like(kt)) if d == 0 else (mixed[parents[d]], left[parents[d]])
             mixed = before[0] + before[1] * weight[d] * kt
             left = before[1] * (1 - weight[d])
-            one = mixed + (left * _kt(_heap(rest[d])) if d < depth else 0)
-            one = np.clip(one, 1e-12, 1 - 1e-12)
-            path = np.zeros((len(one), 512))
-            for i in range(8):
-                lo, hi = 1 << i, 2 << i
-                path[:, 2 * lo : 2 * hi : 2] = path[:, lo:hi] + np.log10(1 - one[:, lo:hi])
-                path[:, 2 * lo + 1 : 2 * hi : 2] = path[:, lo:hi] + np.log10(one[:, lo:hi])
-            self.cost[first[d] : first[d + 1]] = path[:, 256:]
+            del before, kt
+            one = mixed + left * _in_rows(_kt, others(d)) if d < depth else mixed
+            self.cost[first[d] : first[d + 1]] = _in_rows(_byte_costs, np.clip(one, 1e-12, 1 - 1e-12), np.float32, whole=False)
+            weight[d] = weight[d][:0]
         self.depth = depth
 
     def costs(self, out: np.ndarray, at: np.ndarray) -> np.ndarray:
