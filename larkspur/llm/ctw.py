@@ -88,6 +88,25 @@ def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     return k[first], np.add.reduceat(c, first)
 
 
+_CODEC = pa.Codec("zstd", 1)
+
+
+def _squeeze(values: np.ndarray, sorted_: bool = False) -> bytes:
+    """Integers as compressed byte planes; sorted ones as their differences."""
+    v = values.astype(np.uint64)
+    if sorted_ and len(v):
+        v = np.concatenate((v[:1], np.diff(v)))
+    planes = np.ascontiguousarray(v.view(np.uint8).reshape(-1, 8).T)
+    return len(v).to_bytes(8, "little") + _CODEC.compress(planes.tobytes(), asbytes=True)
+
+
+def _expand(blob: bytes, sorted_: bool = False) -> np.ndarray:
+    n = int.from_bytes(blob[:8], "little")
+    planes = np.frombuffer(_CODEC.decompress(blob[8:], 8 * n, asbytes=True), np.uint8).reshape(8, n)
+    v = np.ascontiguousarray(planes.T).view(np.uint64).reshape(n)
+    return np.cumsum(v, dtype=np.uint64) if sorted_ else v.astype(np.int64)
+
+
 _COUNTS = "kind int, bucket int, keys binary, counts binary"
 
 
@@ -106,7 +125,7 @@ def _count(depth: int, buckets: int, flush_bytes: int = 24 << 20):
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
             rows = [(b, order[cuts[b] : cuts[b + 1]]) for b in range(buckets) if cuts[b] < cuts[b + 1]]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([kind] * len(rows), pa.int32()), pa.array([b for b, _ in rows], pa.int32()), pa.array([keys[i].tobytes() for _, i in rows], pa.binary()), pa.array([counts[i].astype(np.int64).tobytes() for _, i in rows], pa.binary())],
+                [pa.array([kind] * len(rows), pa.int32()), pa.array([b for b, _ in rows], pa.int32()), pa.array([_squeeze(keys[i], True) for _, i in rows], pa.binary()), pa.array([_squeeze(counts[i]) for _, i in rows], pa.binary())],
                 ["kind", "bucket", "keys", "counts"],
             )
 
@@ -137,9 +156,9 @@ def _count(depth: int, buckets: int, flush_bytes: int = 24 << 20):
 
 
 def _sum_up(group: pa.Table) -> pa.RecordBatch:
-    keys, counts = _merge(*([np.frombuffer(b, kind) for b in group.column(name).to_pylist()] for name, kind in (("keys", np.uint64), ("counts", np.int64))))
+    keys, counts = _merge(*([_expand(b, name == "keys") for b in group.column(name).to_pylist()] for name in ("keys", "counts")))
     return pa.RecordBatch.from_arrays(
-        [group.column("kind").slice(0, 1).combine_chunks(), pa.array([int(counts.sum())]), pa.array([len(keys)]), pa.array([keys.tobytes()], pa.binary()), pa.array([counts.astype(np.int64).tobytes()], pa.binary())],
+        [group.column("kind").slice(0, 1).combine_chunks(), pa.array([int(counts.sum())]), pa.array([len(keys)]), pa.array([_squeeze(keys, True)], pa.binary()), pa.array([_squeeze(counts)], pa.binary())],
         ["kind", "total", "distinct", "keys", "counts"],
     )
 
@@ -150,7 +169,7 @@ def _prune(depth: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                keys, counts = (np.frombuffer(batch.column(c)[i].as_py(), t) for c, t in (("keys", np.uint64), ("counts", np.int64)))
+                keys, counts = (_expand(batch.column(c)[i].as_py(), c == "keys") for c in ("keys", "counts"))
                 ds, ks, cs = [], [], []
                 for d in range(depth + 1):
                     own, n = _merge([keys & np.uint64((1 << 8 * (d + 1)) - 1)], [counts])
@@ -172,7 +191,7 @@ def _frequent(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                keys, counts = (np.frombuffer(batch.column(c)[i].as_py(), t) for c, t in (("keys", np.uint64), ("counts", np.int64)))
+                keys, counts = (_expand(batch.column(c)[i].as_py(), c == "keys") for c in ("keys", "counts"))
                 keep = counts >= least
                 if keep.any():
                     yield pa.RecordBatch.from_arrays([pa.array([keys[keep].tobytes()], pa.binary()), pa.array([counts[keep].tobytes()], pa.binary())], ["keys", "counts"])
@@ -183,7 +202,7 @@ def _frequent(least: int):
 def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
-            keys, counts = (np.frombuffer(batch.column(c)[i].as_py(), np.int64) for c in ("keys", "counts"))
+            keys, counts = (_expand(batch.column(c)[i].as_py(), c == "keys").astype(np.int64) for c in ("keys", "counts"))
             for at in range(0, len(keys), 200_000):
                 yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 200_000]), pa.array(counts[at : at + 200_000])], ["word", "c"])
 
