@@ -158,4 +158,25 @@ SQL: dict[str, str] = {
             CAST(sum(4 + len(role) + 2 + n + 8) AS BIGINT) AS formatted_chars
         FROM e GROUP BY conv_id
     """,
+    "op8_ann": """
+        WITH v AS (
+            SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0
+        ),
+        d AS (SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_transform(range(1, len(q.x) + 1), lambda i: (q.x[i] - c.x[i]) * (q.x[i] - c.x[i])), lambda s, v: s + v)) AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.x) = len(c.x)),
+        r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank, vec_id, score FROM d)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+    """,
+    "op9_embedding_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0
+        ),
+        e AS (SELECT p.vec_id AS a, q.vec_id AS b FROM v p JOIN v q ON p.vec_id <> q.vec_id AND len(p.x) = len(q.x) AND list_cosine_similarity(p.x, q.x) >= 0.95),
+        r AS (SELECT a AS src, a AS dst FROM e UNION SELECT r.src, e.b FROM r JOIN e ON e.a = r.dst),
+        m AS (SELECT src, min(dst) AS root FROM r GROUP BY src),
+        n AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+        SELECT t.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, coalesce(m.root, t.vec_id) AS component_id, coalesce(m.root, t.vec_id) = t.vec_id AS kept
+        FROM embeddings t LEFT JOIN m ON m.src = t.vec_id LEFT JOIN n ON n.a = t.vec_id
+    """,
 }
