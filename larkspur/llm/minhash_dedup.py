@@ -284,11 +284,12 @@ def near_duplicates(
     )
     families = components(pairs)
     rooted = families.union(families.select("root", "root")).distinct().toDF("fp", "family")
-    sizes = rooted.groupBy("family").agg(F.count("*").alias("n_family"))
     wanted = rooted.join(classes.select("fp", F.col("doc_id").alias("rep")), "fp").select("rep", F.col("fp").alias("want"), "family")
     sets = store(
         texts.join(wanted, texts.doc_id.eqNullSafe(wanted.rep)).select("text", "want", "family").mapInArrow(_fetch(width), "family long, fp long, shingles binary").dropDuplicates(["fp"])
     )
+    # A family counts by its sets and by their size (512 shingles as one set), so long texts make smaller blocks.
+    sizes = sets.groupBy("family").agg(F.greatest(F.count("*"), F.ceil(F.sum(F.length("shingles")) / 4096)).alias("n_family"))
     keys = ["family", "bi", "bj"]
     links = (
         _blocks(sets.join(sizes, "family"), ["family"], "n_family", "fp", block)
