@@ -755,3 +755,12 @@ def function(name: str, *args: Any) -> ScalarFunction:
 
 def aggregate(name: str, *args: Any, distinct: bool = False) -> AggregateFunction:
     return AggregateFunction(name, list(args), distinct)
+
+
+def __getattr__(name: str):
+    """Plan nodes can be had from here as well."""
+    from larkspur.plans import nodes
+
+    if hasattr(nodes, name) and not name.startswith("_"):
+        return getattr(nodes, name)
+    raise AttributeError(f"module 'larkspur.expr' has no attribute {name!r}")

@@ -16,7 +16,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.expr import Expr
+from larkspur.expr import Alias, Expr
 from larkspur.types import spark_schema
 
 
@@ -569,7 +569,7 @@ def _seq(seq: Any) -> list[Any]:
 
 
 def _sql(exprs: Any) -> list[Expr]:
-    return [SqlExpr(e.sql()) for e in _seq(exprs)]
+    return [Alias(SqlExpr(e.child().sql()), e.name()) if e.nodeName() == "Alias" else SqlExpr(e.sql()) for e in _seq(exprs)]
 
 
 def from_catalyst(plan: Any) -> Node:
@@ -582,7 +582,7 @@ def from_catalyst(plan: Any) -> Node:
         return Filter(SqlExpr(plan.condition().sql()), below[0])
     if kind == "Aggregate":
         groups = _sql(plan.groupingExpressions())
-        return Aggregate(groups, [e for e in _sql(plan.aggregateExpressions()) if e.sql not in {g.sql for g in groups}], below[0])
+        return Aggregate(groups, [e for e in _sql(plan.aggregateExpressions()) if e.canonical_name() not in {g.canonical_name() for g in groups}], below[0])
     if kind == "Join":
         condition = plan.condition()
         return Join(below[0], below[1], [], plan.joinType().sql().lower(), SqlExpr(condition.get().sql()) if condition.isDefined() else None)

@@ -288,10 +288,10 @@ class SessionContext:
         self.spark.createDataFrame(sorted(self.config.options.items()), "name string, value string").createOrReplaceTempView("information_schema_df_settings")
 
     def parse(self, sql: str, provider) -> Any:
-        return parse_sql(self.spark, sql, provider)
+        return parse_sql(sql, provider, spark=self.spark)
 
     def optimize(self, plan, context=None) -> Any:
-        return optimize_plan(self.spark, plan, context, self.state.rules)
+        return optimize_plan(plan, context, rules=self.state.rules, spark=self.spark)
 
     # catalog
     def tables(self) -> set[str]:

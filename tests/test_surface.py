@@ -115,3 +115,20 @@ def test_plans(ctx):
         ctx.parse("SELECT * FROM nowhere", larkspur.ContextProvider({}))
     with pytest.raises(ValueError):
         larkspur.table_scan("t", schema, ["nope"])
+
+
+def test_modules(spark):
+    from larkspur import builder, expr, optimizer, parser
+
+    plan = parser.parse_sql("SELECT 1 AS a", larkspur.ContextProvider({}))
+    assert optimizer.optimize_plan(plan, larkspur.OptimizerContext()).field_names() == ["a"]
+    assert builder.table_scan is larkspur.table_scan and expr.Aggregate.__name__ == "Aggregate"
+    with pytest.raises(AttributeError):
+        expr.absent  # noqa: B018
+
+    class Keep(larkspur.OptimizationRule):
+        def try_optimize(self, plan):
+            return larkspur.LogicalPlanBuilder(plan).filter(col("a") > 5).build()
+
+    scan = larkspur.table_scan("t", pa.schema([("a", pa.int64())])).build()
+    assert "Filter" in larkspur.optimize_plan(scan, rules=[Keep()]).display_indent()
