@@ -21,7 +21,7 @@ U64 = np.uint64
 _rng = np.random.default_rng(77)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
 _BASE = 0xA0761D6478BD642F
-_SLICE = 1 << 22
+_SLICE = 1 << 20
 #: First bytes after which a blank surely starts a piece: visible ASCII, and the lead of U+00C0 to U+00FF.
 _VISIBLE = np.zeros(256, bool)
 _VISIBLE[0x21:0x7F] = True
@@ -50,7 +50,7 @@ def load(path: str) -> "Encoder":
 class Encoder:
     """Batch encoding with a cache of at most ``most`` segments."""
 
-    def __init__(self, path: str, most: int = 1_500_000):
+    def __init__(self, path: str, most: int = 600_000):
         import tiktoken
         from tokenizers import Tokenizer
 
@@ -76,8 +76,42 @@ class Encoder:
         self._reset()
 
     def _reset(self) -> None:
-        self._keys, self._at, self._len = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-        self._ids = np.empty(0, np.uint32)
+        """Two sorted runs of keys, a large and a recent one, with where their ids start and how many they are."""
+        none = (np.empty(0, np.uint64), np.empty(0, np.int32), np.empty(0, np.int32))
+        self._runs = [none, none]
+        self._ids, self._used = np.empty(1 << 16, np.uint32), 0
+
+    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which keys are known, where their ids start, and how many there are."""
+        known, at, length = np.zeros(len(keys), bool), np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        for run, starts, lengths in self._runs:
+            if len(run):
+                i = np.minimum(np.searchsorted(run, keys), len(run) - 1)
+                hit = run[i] == keys
+                known |= hit
+                at = np.where(hit, starts[i], at)
+                length = np.where(hit, lengths[i], length)
+        return known, at, length
+
+    def _add(self, keys: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
+        """New keys with their ids; the recent run joins the large one once it is a quarter of it."""
+        need = self._used + len(ids)
+        if need > len(self._ids):
+            grown = np.empty(max(need, 2 * len(self._ids)), np.uint32)
+            grown[: self._used] = self._ids[: self._used]
+            self._ids = grown
+        self._ids[self._used : need] = ids
+        fresh = (keys, (self._used + np.cumsum(lengths) - lengths).astype(np.int32), lengths.astype(np.int32))
+        self._used = need
+        self._runs[1] = self._joined(self._runs[1], fresh)
+        if 4 * len(self._runs[1][0]) > len(self._runs[0][0]):
+            self._runs = [self._joined(*self._runs), tuple(x[:0] for x in fresh)]
+
+    @staticmethod
+    def _joined(a: tuple, b: tuple) -> tuple:
+        keys = np.concatenate((a[0], b[0]))
+        order = np.argsort(keys, kind="stable")
+        return keys[order], np.concatenate((a[1], b[1]))[order], np.concatenate((a[2], b[2]))[order]
 
     def _learn(self, keys: np.ndarray, segments: list[bytes]) -> None:
         """Add segments (each starts with a blank and a visible character) to the cache."""
@@ -89,12 +123,7 @@ class Encoder:
             cut = np.searchsorted(ends, np.cumsum([len(s) for s in some]), side="right")
             ids.append(got)
             lengths.append(np.diff(np.concatenate(([0], cut))))
-        length = np.concatenate(lengths)
-        at = len(self._ids) + np.cumsum(length) - length
-        self._ids = np.concatenate([self._ids, *ids])
-        keys, at, length = np.concatenate((self._keys, keys)), np.concatenate((self._at, at)), np.concatenate((self._len, length))
-        order = np.argsort(keys)
-        self._keys, self._at, self._len = keys[order], at[order], length[order]
+        self._add(keys, np.concatenate(ids), np.concatenate(lengths))
 
     def _slice(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(raw)
@@ -115,28 +144,23 @@ class Encoder:
             # What isn't led by a cut blank is kept apart from what is.
             key = mix64(key ^ ((ends - starts).astype(np.uint64) * U64(0x9E3779B97F4A7C15)) ^ np.where(plain[starts], U64(0), U64(0xDEADBEEF12345678)))
         uniq, where, back = np.unique(key, return_index=True, return_inverse=True)
-        if len(self._keys) + len(uniq) > self.most:
+        if sum(len(r[0]) for r in self._runs) + len(uniq) > self.most:
             self._reset()
-        at = np.minimum(np.searchsorted(self._keys, uniq), max(len(self._keys) - 1, 0))
-        new = self._keys[at] != uniq if len(self._keys) else np.ones(len(uniq), bool)
-        if new.any():
+        known, at, length = self._find(uniq)
+        if not known.all():
+            new = ~known
             w = where[new]
             data = raw.tobytes()
             led = plain[starts[w]]
-            self._learn(uniq[new][led], [data[starts[i] : ends[i]] for i in w[led]]) if led.any() else None
-            own, keys = w[~led], uniq[new][~led]
-            if len(own):
-                got = [np.array(self._encode(data[starts[i] : ends[i]].decode("utf-8", "replace")), np.uint32) for i in own]
-                length = np.array([len(g) for g in got])
-                pos = len(self._ids) + np.cumsum(length) - length
-                self._ids = np.concatenate([self._ids, *got])
-                k = np.concatenate((self._keys, keys))
-                order = np.argsort(k)
-                self._keys, self._at, self._len = k[order], np.concatenate((self._at, pos))[order], np.concatenate((self._len, length))[order]
-            at = np.searchsorted(self._keys, uniq)
-        length = self._len[at][back]
+            if led.any():
+                self._learn(uniq[new][led], [data[starts[i] : ends[i]] for i in w[led]])
+            if not led.all():
+                got = [np.array(self._encode(data[starts[i] : ends[i]].decode("utf-8", "replace")), np.uint32) for i in w[~led]]
+                self._add(uniq[new][~led], np.concatenate(got), np.array([len(g) for g in got]))
+            _, at, length = self._find(uniq)
+        at, length = at[back], length[back]
         ends_at = np.cumsum(length)
-        ids = self._ids[np.arange(ends_at[-1]) + np.repeat(self._at[at][back] - (ends_at - length), length)]
+        ids = self._ids[np.arange(ends_at[-1]) + np.repeat(at - (ends_at - length), length)]
         before = np.concatenate(([0], ends_at))[np.searchsorted(starts, off)]
         return ids, np.diff(before)
 
