@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from larkspur.llm.common import bounded
 from larkspur.llm.template import compile_template
 
 TEMPLATE = (
@@ -114,7 +115,7 @@ def format_conversations(rows: DataFrame, template: str = TEMPLATE, *, part_char
     ``mask`` has the spans of ``formatted`` (in code points) that lie under generation markers.
     """
     compile_template(template, {"escape": escape, "escape_role": escape_role})  # errors show here
-    sorted_rows = rows.selectExpr("cast(conv_id as long) conv_id", "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    sorted_rows = bounded(rows).selectExpr("cast(conv_id as long) conv_id", "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return sorted_rows.select("conv_id", "role", "text").mapInArrow(_render(template, part_chars), _SCHEMA)
 
 

@@ -44,6 +44,19 @@ def drop(df: DataFrame | None) -> None:
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Most bytes of an Arrow batch that goes to a Python worker, whatever the length of its texts.
+BATCH_BYTES = 8 << 20
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df itself; its session sends Python workers batches of at most BATCH_BYTES (or less, as set)."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(conf.get(key)).lower().rstrip("b")
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.llm.common import bounded
 from larkspur.llm.textkernel import _LOWER, _WORD, SLICE, buffer_of, slices
 
 GRAMS = (2, 3, 4)
@@ -135,7 +136,7 @@ def identify(docs: DataFrame, train: Column, *, per_language: int = 400, landmar
     rows = labelled_sample(docs.select("doc_id", "text", "lang"), train, per_language)
     model = fit_kernel([r.text for r in rows], [r.lang for r in rows], landmarks=landmarks, bins=bins)
     names = docs.columns
-    reading = docs.withColumn("__letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    reading = bounded(docs).withColumn("__letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     keep = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import components, drop, parts, store
+from larkspur.llm.common import bounded, components, drop, parts, store
 from larkspur.llm.textkernel import buffer_of, mix64, shingles, word_hashes
 
 U64 = np.uint64
@@ -252,7 +252,7 @@ def near_duplicates(
     block: int = 1024,
 ) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id, kept), one for each row of docs; see the module's notes."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     described = store(texts.mapInArrow(_describe(width, coords), "doc_id long, n_shingles long, fp long, sig binary"))
     classes = store(
         described.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min("sig").alias("sig"), F.min("n_shingles").alias("n"))

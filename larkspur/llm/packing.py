@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import parts, store
+from larkspur.llm.common import bounded, parts, store
 from larkspur.llm.textkernel import buffer_of
 from larkspur.llm.tokens import load
 
@@ -130,7 +130,7 @@ def _cut(length: int, with_ids: bool):
 def pack(docs: DataFrame, tokenizer: str, *, length: int = 2048, end: int = 1, with_ids: bool = True) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (little-endian uint32)."""
     spark = docs.sparkSession
-    tokenised = docs.select("doc_id", "text").mapInArrow(_tokenise(tokenizer, end), "doc_id long, doc_tokens long, key long, width int, ids binary")
+    tokenised = bounded(docs).select("doc_id", "text").mapInArrow(_tokenise(tokenizer, end), "doc_id long, doc_tokens long, key long, width int, ids binary")
     tokenised = store(tokenised.withColumn("uid", F.monotonically_increasing_id()))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     line = tokenised.select("uid", "doc_tokens", "key", F.xxhash64("uid").alias("tie"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import arrow_rows, parts, store
+from larkspur.llm.common import arrow_rows, bounded, parts, store
 from larkspur.llm.textkernel import buffer_of, word_hashes
 
 #: Character classes that are counted, each by its bytes.
@@ -139,7 +139,7 @@ def classify(docs: DataFrame, labels: DataFrame, train: Column, *, label_col: st
 
     ``train`` selects, by doc_id, the rows whose labels may be learned.
     """
-    x = store(docs.select("doc_id", "text").mapInArrow(_measure, "doc_id long, x array<double>"))
+    x = store(bounded(docs).select("doc_id", "text").mapInArrow(_measure, "doc_id long, x array<double>"))
     known = labels.select("doc_id", F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1))
     d = len(FEATURES)
     gathered = (

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import parts
+from larkspur.llm.common import bounded, parts
 from larkspur.llm.textkernel import buffer_of
 
 SHORTEST = 16
@@ -294,7 +294,7 @@ def scan(docs: DataFrame, scanner: Scanner | None = None, *, threshold: float =
                     ["doc_id", "start", "length", "score", "is_secret", "shown"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, start long, length long, score double, is_secret boolean, shown string")
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, start long, length long, score double, is_secret boolean, shown string")
 
 
 def redact(docs: DataFrame, scanner: Scanner | None = None, *, threshold: float = 0.5, mark: str = "[SECRET]") -> DataFrame:
@@ -324,4 +324,4 @@ def redact(docs: DataFrame, scanner: Scanner | None = None, *, threshold: float
                     columns["n_chars"] = pa.array([len(texts[i]) if i in changed else n for i, n in enumerate(columns["n_chars"].to_pylist())], part.schema.field("n_chars").type)
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(run, docs.schema)

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.llm.common import bounded
+
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
@@ -32,7 +34,7 @@ def encoded(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
     """
     single = df.schema[vector_col].dataType.elementType.typeName() == "float"
     v = F.col(vector_col) if single else F.col(vector_col).cast("array<double>")
-    out = df.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).mapInArrow(_encode, "vec_id long, vec binary")
+    out = bounded(df).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).mapInArrow(_encode, "vec_id long, vec binary")
     return out.withColumn("node", F.when(F.col("vec").isNotNull(), F.xxhash64("vec"))), np.float32 if single else np.float64
 
 
