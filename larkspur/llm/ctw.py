@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import drop, parts, store
+from larkspur.llm.common import bounded, parts, store
 from larkspur.llm.minhash_dedup import _grouped
 from larkspur.llm.textkernel import _LOWER, _WORD, _word_spans, buffer_of, word_hashes
 
@@ -352,14 +352,19 @@ def _score(shared, depth: int, norm: float):
                 hit = known[pos] == words if len(known) else np.zeros(len(words), bool)
                 logs = np.concatenate(([0.0], np.cumsum(np.where(hit, known_log[pos] if len(known) else 0.0, 0.0))))
                 hits = np.concatenate(([0], np.cumsum(hit)))
-                rare = words[~hit].astype(np.int64)
-                ro = (wo - hits[wo]).astype(np.int32)
+                rare = words[~hit].astype(np.int64)  # each once a text, with how often
+                row = np.repeat(np.arange(len(wo) - 1), np.diff(wo - hits[wo]))
+                order = np.lexsort((rare, row))
+                rare, row = rare[order], row[order]
+                first = np.flatnonzero(np.concatenate(([True], (rare[1:] != rare[:-1]) | (row[1:] != row[:-1])))) if len(rare) else np.empty(0, np.int64)
+                times = np.diff(np.append(first, len(rare)))
+                ro = pa.array(np.searchsorted(row[first], np.arange(len(wo))).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"), pa.array(np.diff(wo), pa.int64()), pa.array(np.diff(hits[wo]), pa.int64()), pa.array(np.diff(logs[wo])),
-                        pa.array(score), pa.array(np.diff(upto), pa.int64()), pa.ListArray.from_arrays(pa.array(ro), pa.array(rare)),
+                        pa.array(score), pa.array(np.diff(upto), pa.int64()), pa.ListArray.from_arrays(ro, pa.array(rare[first])), pa.ListArray.from_arrays(ro, pa.array(times)),
                     ],
-                    ["doc_id", "n_tokens", "n_known", "base_score", "score", "n_bytes", "rare"],
+                    ["doc_id", "n_tokens", "n_known", "base_score", "score", "n_bytes", "rare", "times"],
                 )
 
     return run
@@ -368,7 +373,7 @@ def _score(shared, depth: int, norm: float):
 def score(docs: DataFrame, train: Column, *, depth: int = 6, contexts: int = 1 << 16, frequent: int = 1 << 17) -> DataFrame:
     """Rows (doc_id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte), one for each row of docs."""
     spark = docs.sparkSession
-    texts = docs.select("doc_id", "text")
+    texts = bounded(docs).select("doc_id", "text")
     buckets = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
     keys = ["kind", "bucket"]
     merged = store(
@@ -389,10 +394,10 @@ def score(docs: DataFrame, train: Column, *, depth: int = 6, contexts: int = 1 <
     order = np.argsort(known)
     shared = spark.sparkContext.broadcast((tree, known[order], np.log10((known_count[order] + 0.1) / norm)))
     scored = store(
-        texts.mapInArrow(_score(shared, depth, norm), "doc_id long, n_tokens long, n_known long, base_score double, score double, n_bytes long, rare array<long>")
+        texts.mapInArrow(_score(shared, depth, norm), "doc_id long, n_tokens long, n_known long, base_score double, score double, n_bytes long, rare array<long>, times array<long>")
         .withColumn("uid", F.monotonically_increasing_id())
     )
-    asked = scored.select("uid", F.explode("rare").alias("word")).groupBy("uid", "word").agg(F.count("*").alias("n"))
+    asked = scored.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("uid", F.col("x.rare").alias("word"), F.col("x.times").alias("n"))
     vocabulary = merged.where("kind = 1").select("keys", "counts").mapInArrow(_vocabulary, "word long, c long")
     found = asked.join(vocabulary, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     rest = found.groupBy("uid").agg(
