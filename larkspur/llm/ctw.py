@@ -8,16 +8,18 @@ weighted probability of a node is half its own block probability plus half the
 product of its children's. Block probabilities depend on counts only, so the
 model is fitted from counts over all training texts and then frozen.
 
-The tree has the contexts that are at least 1 / ``contexts`` of all training
-positions (so at most ``contexts`` of them at each depth, whatever the size of
-the corpus); what falls outside a node's kept children is one further child of
-it. Counting is exact: tasks count their byte strings and words in sorted
-arrays, blocks of which meet in the bucket of their hash; only the kept
-contexts reach the driver, and scoring follows dense child tables.
-
-Beside it stands a unigram base over words and an end token. Words of at least
-1 / ``frequent`` of all tokens are sent to every task, all rarer ones are
-looked up by a join. Words are told apart by 64-bit hashes.
+The tree has every context seen, whatever its count. The byte strings of the
+scored texts stand in it too, with the count 0, which changes nothing: what was
+never seen predicts 1/2. Tasks count the byte strings of chunks of rows in
+sorted arrays, which meet in the bucket of their last ``TOP`` context bytes. A
+bucket has whole subtrees; of the depths above, bounded by the number of byte
+strings that short, the driver gets sums and gives back mixtures. Each chunk is
+then sent the costs of its own byte strings, and its rows are summed up. No
+task and not the driver holds the whole tree.
+
+Beside it stands a unigram base over words and an end token, whose counts are
+gathered and sent back to the chunks in the same way. Words are told apart by
+64-bit hashes.
 
 A null text is an empty one: its end token alone. Without training texts every
 bit costs one bit. Repeated rows each count and come back; an empty table
@@ -30,6 +32,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,104 +111,103 @@ def _expand(blob: bytes, sorted_: bool = False) -> np.ndarray:
     return np.cumsum(v, dtype=np.uint64) if sorted_ else v.astype(np.int64)
 
 
-_COUNTS = "kind int, bucket int, keys binary, counts binary"
+def _squeeze_costs(costs: np.ndarray) -> bytes:
+    planes = np.ascontiguousarray(costs.astype(np.float32).view(np.uint8).reshape(-1, 4).T)
+    return _CODEC.compress(planes.tobytes(), asbytes=True)
 
 
-def _count(depth: int, buckets: int, flush_bytes: int = 24 << 20):
-    """Counts of (context, byte) strings (kind 0, by the two bytes before) and of words (kind 1), in blocks a bucket."""
+def _expand_costs(blob: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(_CODEC.decompress(blob, 4 * n, asbytes=True), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view(np.float32).reshape(n)
 
-    def blocks(held: dict[int, list]) -> Iterator[pa.RecordBatch]:
-        for kind, pieces in held.items():
-            if not pieces:
-                continue
-            keys, counts = _merge([p[0] for p in pieces], [p[1] for p in pieces])
-            where = (keys >> np.uint64(8)) & np.uint64(0xFFFF) if kind == 0 else keys
-            bucket = ((where * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % buckets
-            del where
-            order = np.argsort(bucket, kind="stable").astype(np.int32)
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            rows = [(b, order[cuts[b] : cuts[b + 1]]) for b in range(buckets) if cuts[b] < cuts[b + 1]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([kind] * len(rows), pa.int32()), pa.array([b for b, _ in rows], pa.int32()), pa.array([_squeeze(keys[i], True) for _, i in rows], pa.binary()), pa.array([_squeeze(counts[i]) for _, i in rows], pa.binary())],
-                ["kind", "bucket", "keys", "counts"],
-            )
-
-    def add(pieces: list, keys: np.ndarray) -> None:
-        """One more sorted piece; pieces of like size are merged at once, so few are held."""
-        pieces.append(_counted(keys))
-        while len(pieces) > 1 and len(pieces[-2][0]) < 2 * len(pieces[-1][0]):
-            b, a = pieces.pop(), pieces.pop()
-            pieces.append(_merge([a[0], b[0]], [a[1], b[1]]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {0: [], 1: []}
-        size = 0
-        for batch in batches:
-            for part in parts(batch, 1 << 20):
-                raw, off = buffer_of(part.column("text"))
-                out, _, at = stream(raw, off, depth)
-                add(held[0], grams(out, at, depth))
-                words, _ = word_hashes(raw, off)
-                add(held[1], np.append(words, np.full(len(off) - 1, _END_HASH, np.uint64)))
-                size += len(raw)
-                if size >= flush_bytes:
-                    yield from blocks(held)
-                    held, size = {0: [], 1: []}, 0
-        yield from blocks(held)
+#: Depths below this are mixed on the driver, the subtrees from it on in buckets.
+TOP = 3
 
-    return run
+_BLOCKS = "kind int, bucket int, chunk long, keys binary, counts binary"
+_GATHERED = "kind int, bucket int, total long, distinct long, keys binary, counts binary, chunks array<long>, asked array<binary>"
 
 
-def _sum_up(group: pa.Table) -> pa.RecordBatch:
-    keys, counts = _merge(*([_expand(b, name == "keys") for b in group.column(name).to_pylist()] for name in ("keys", "counts")))
-    return pa.RecordBatch.from_arrays(
-        [group.column("kind").slice(0, 1).combine_chunks(), pa.array([int(counts.sum())]), pa.array([len(keys)]), pa.array([_squeeze(keys, True)], pa.binary()), pa.array([_squeeze(counts)], pa.binary())],
-        ["kind", "total", "distinct", "keys", "counts"],
-    )
+def _low(n: int) -> np.uint64:
+    """A mask of the lowest n bytes."""
+    return np.uint64((1 << 8 * n) - 1)
 
 
-def _prune(depth: int, least: int):
-    """The (context, byte) counts of contexts seen ``least`` times, by depth; depths 0 and 1 are summed in full."""
+def _add(pieces: list, keys: np.ndarray, counts: np.ndarray) -> None:
+    """One more sorted piece; pieces of like size are merged at once, so few are held."""
+    pieces.append((keys, counts))
+    while len(pieces) > 1 and len(pieces[-2][0]) < 2 * len(pieces[-1][0]):
+        b, a = pieces.pop(), pieces.pop()
+        pieces.append(_merge([a[0], b[0]], [a[1], b[1]]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                keys, counts = (_expand(batch.column(c)[i].as_py(), c == "keys") for c in ("keys", "counts"))
-                ds, ks, cs = [], [], []
-                for d in range(depth + 1):
-                    own, n = _merge([keys & np.uint64((1 << 8 * (d + 1)) - 1)], [counts])
-                    if d >= 2:
-                        context, back = np.unique(own >> np.uint64(8), return_inverse=True)
-                        keep = np.bincount(back, n, len(context))[back] >= least
-                        own, n = own[keep], n[keep]
-                    if len(own):
-                        ds.append(d)
-                        ks.append(own.tobytes())
-                        cs.append(n.astype(np.int64).tobytes())
-                if ds:
-                    yield pa.RecordBatch.from_arrays([pa.array(ds, pa.int32()), pa.array(ks, pa.binary()), pa.array(cs, pa.binary())], ["depth", "keys", "counts"])
 
-    return run
+def _count(depth: int, buckets: int, chunk_bytes: int):
+    """Chunks of rows (kind 2) and their byte strings (kind 0) and words (kind 1) with training counts, in blocks a bucket."""
+    top = min(TOP, depth)
 
+    def blocks(chunk: int, rows: list, held: list[list]) -> Iterator[pa.RecordBatch]:
+        for kind, pieces in enumerate(held):
+            keys, counts = _merge([p[0] for p in pieces], [p[1] for p in pieces])
+            where = (keys >> np.uint64(8)) & _low(top) if kind == 0 else keys
+            bucket = ((where * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % buckets
+            del where
+            order = np.argsort(bucket, kind="stable").astype(np.int32)
+            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            own = [(b, order[cuts[b] : cuts[b + 1]]) for b in range(buckets) if cuts[b] < cuts[b + 1]]
+            yield _block_rows([kind] * len(own), [b for b, _ in own], [chunk] * len(own), [_squeeze(keys[i], True) for _, i in own], [_squeeze(counts[i]) for _, i in own])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            for part in rows:
+                out.write_batch(part)
+        yield _block_rows([2], [chunk % buckets], [chunk], [sink.getvalue().to_pybytes()], [b""])
 
-def _frequent(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, size = TaskContext.get().partitionId() << 32, 0
+        rows, held = [], [[], []]
         for batch in batches:
-            for i in range(batch.num_rows):
-                keys, counts = (_expand(batch.column(c)[i].as_py(), c == "keys") for c in ("keys", "counts"))
-                keep = counts >= least
-                if keep.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([keys[keep].tobytes()], pa.binary()), pa.array([counts[keep].tobytes()], pa.binary())], ["keys", "counts"])
+            for part in parts(batch, 1 << 20):
+                for train in (True, False):
+                    some = part.filter(pc.equal(part.column("train"), train))
+                    if not some.num_rows:
+                        continue
+                    raw, off = buffer_of(some.column("text"))
+                    out, _, at = stream(raw, off, depth)
+                    words, _ = word_hashes(raw, off)
+                    for pieces, found in zip(held, (grams(out, at, depth), np.append(words, np.full(len(off) - 1, _END_HASH, np.uint64)))):
+                        keys, counts = _counted(found)
+                        _add(pieces, keys, counts * train)
+                    size += len(raw)
+                rows.append(part.select(["doc_id", "text"]))
+                if size >= chunk_bytes:
+                    yield from blocks(chunk, rows, held)
+                    chunk, size = chunk + 1, 0
+                    rows, held = [], [[], []]
+        if rows:
+            yield from blocks(chunk, rows, held)
 
     return run
 
 
-def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            keys, counts = (_expand(batch.column(c)[i].as_py(), c == "keys").astype(np.int64) for c in ("keys", "counts"))
-            for at in range(0, len(keys), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 200_000]), pa.array(counts[at : at + 200_000])], ["word", "c"])
+def _block_rows(*columns: list) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["kind", "bucket", "chunk", "keys", "counts"])
+
+
+def _gather(group: pa.Table) -> pa.RecordBatch:
+    """A bucket's counts in all, and what each chunk asks of it; chunks of rows stay as they are."""
+    kind, bucket = group.column("kind")[0].as_py(), group.column("bucket")[0].as_py()
+    chunks, asked = group.column("chunk").to_pylist(), group.column("keys").to_pylist()
+    if kind == 2:
+        n = len(chunks)
+        columns = [[2] * n, [bucket] * n, [0] * n, [0] * n, [b""] * n, [b""] * n, [[c] for c in chunks], [[a] for a in asked]]
+    else:
+        pieces: list = []
+        for a, c in zip(asked, group.column("counts")):
+            _add(pieces, _expand(a, True), _expand(c.as_py()))
+        keys, counts = _merge([p[0] for p in pieces], [p[1] for p in pieces])
+        columns = [[kind], [bucket], [int(counts.sum())], [int(np.count_nonzero(counts))], [_squeeze(keys, True)], [_squeeze(counts)], [chunks], [asked]]
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.binary()))
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["kind", "bucket", "total", "distinct", "keys", "counts", "chunks", "asked"])
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
@@ -215,196 +218,213 @@ def _lgamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + i * (1 / 12 - i * i * (1 / 360 - i * i / 1260)) - down
 
 
-def _heap(counts: np.ndarray) -> np.ndarray:
-    """Counts of all bit prefixes (n x 512): 256 + s for byte s, i the sum of 2i and 2i + 1."""
-    out = np.zeros((len(counts), 512))
-    out[:, 256:] = counts
-    for k in range(7, -1, -1):
-        out[:, 1 << k : 2 << k] = out[:, 2 << k : 4 << k].reshape(len(counts), -1, 2).sum(2)
-    return out
-
-
-def _block(heap: np.ndarray) -> np.ndarray:
-    zero, one = heap[:, 0::2], heap[:, 1::2]
-    out = _lgamma(zero + 0.5) + _lgamma(one + 0.5) - _lgamma(zero + one + 1) - np.log(np.pi)
-    out[:, 0] = 0
-    return out
-
-
-def _kt(heap: np.ndarray) -> np.ndarray:
-    return (heap[:, 1::2] + 0.5) / (heap[:, 0::2] + heap[:, 1::2] + 1)
+class _Subtree:
+    """The nodes of sorted (context, byte) strings at the depths from ``top`` to ``depth``, one bit of the byte at a time.
+
+    A node is a context with the first ``k`` bits of a byte; those of a depth
+    are runs of its strings. ``sums`` says what the depth below ``depth`` adds.
+    """
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, top: int, depth: int):
+        self.top, self.depth = top, depth
+        self.keys, self.counts, self.up = {depth: keys}, {depth: counts}, {}
+        for d in range(depth, top, -1):
+            self.keys[d - 1], self.up[d] = np.unique(self.keys[d] & _low(d), return_inverse=True)
+            self.counts[d - 1] = np.bincount(self.up[d], self.counts[d], len(self.keys[d - 1])).astype(np.int64)
+
+    def runs(self, d: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where the nodes start, and the node of each string."""
+        node = self.keys[d] >> np.uint64(8 - k)
+        new = np.concatenate(([True], node[1:] != node[:-1]))
+        return np.flatnonzero(new), np.cumsum(new) - 1
+
+    def bit(self, d: int, k: int) -> np.ndarray:
+        return (self.keys[d] >> np.uint64(7 - k)) & np.uint64(1) > 0
+
+    def climb(self, k: int, sums: np.ndarray | None = None) -> tuple[np.ndarray, dict]:
+        """log weighted probabilities of the nodes at ``top``; by depth (parents, weights, estimates of a one, node of each string)."""
+        nodes, weighted, above = {}, np.empty(0), None
+        starts, run = self.runs(self.depth, k)
+        for d in range(self.depth, self.top - 1, -1):
+            one = np.add.reduceat(self.counts[d] * self.bit(d, k), starts)
+            zero = np.add.reduceat(self.counts[d], starts) - one
+            own = _lgamma(zero + 0.5) + _lgamma(one + 0.5) - _lgamma(zero + one + 1.0) - np.log(np.pi)
+            below = sums if d == self.depth else np.bincount(above, weighted, len(starts))
+            if below is None:
+                weighted, weight = own, np.ones(len(own))
+            else:
+                weighted = np.logaddexp(own, below) - np.log(2)
+                weight = np.exp(own - np.log(2) - weighted)
+            kt = (one + 0.5) / (zero + one + 1)
+            if d > self.top:
+                up_starts, up_run = self.runs(d - 1, k)
+                above = up_run[self.up[d][starts]]
+            nodes[d] = (above if d > self.top else None, weight, kt, run)
+            if d > self.top:
+                starts, run = up_starts, up_run
+        return weighted, nodes
+
+    def descend(self, nodes: dict, mixed: np.ndarray | float = 0.0, left: np.ndarray | float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+        """Estimates mixed so far and the weight left at the nodes of ``depth``, from those above the nodes of ``top``."""
+        for d in range(self.top, self.depth + 1):
+            above, weight, kt, _ = nodes[d]
+            if above is not None:
+                mixed, left = mixed[above], left[above]
+            mixed, left = mixed + left * weight * kt, left * (1 - weight)
+        return mixed, left
+
+
+def _subtrees(keys: np.ndarray, counts: np.ndarray, top: int, depth: int, size: int = 1 << 18) -> Iterator[tuple[np.ndarray, _Subtree]]:
+    """The subtrees of a bucket, some contexts of length ``top`` at a time: which strings, and their tree."""
+    context = (keys >> np.uint64(8)) & _low(top)
+    order = np.argsort(context, kind="stable")
+    context = context[order]
+    at = 0
+    while at < len(order):
+        upto = int(np.searchsorted(context, context[min(at + size, len(order)) - 1], side="right"))
+        which = np.sort(order[at:upto])
+        yield which, _Subtree(keys[which], counts[which], top, depth)
+        at = upto
+
+
+def _rise(depth: int):
+    """Of each bucket the strings one byte shorter than its subtrees' roots, their counts, and by bit what the subtrees add to their nodes."""
+    top = min(TOP, depth)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                keys, counts = (_expand(batch.column(c)[i].as_py(), c == "keys") for c in ("keys", "counts"))
+                held: list[list] = [[] for _ in range(9)]
+                for _, tree in _subtrees(keys, counts, top, depth):
+                    held[8].append((tree.keys[top] & _low(top), tree.counts[top]))
+                    for k in range(8):
+                        starts, _ = tree.runs(top, k)
+                        held[k].append(((tree.keys[top][starts] & _low(top)) >> np.uint64(8 - k), tree.climb(k)[0]))
+                for k, pieces in enumerate(held):
+                    nodes, values = _merge([p[0] for p in pieces], [p[1] for p in pieces])
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([nodes.tobytes()], pa.binary()), pa.array([values.tobytes()], pa.binary())], ["k", "nodes", "sums"])
 
-def _byte_costs(one: np.ndarray) -> np.ndarray:
-    """log10 probabilities of the 256 bytes from those of a one-bit at each prefix."""
-    path = np.zeros((len(one), 512))
-    for i in range(8):
-        lo, hi = 1 << i, 2 << i
-        path[:, 2 * lo : 2 * hi : 2] = path[:, lo:hi] + np.log10(1 - one[:, lo:hi])
-        path[:, 2 * lo + 1 : 2 * hi : 2] = path[:, lo:hi] + np.log10(one[:, lo:hi])
-    return path[:, 256:]
+    return run
 
 
-def _in_rows(fn, x: np.ndarray, kind: type = np.float64, *, whole: bool = True, rows: int = 2048) -> np.ndarray:
-    """fn of the rows of x (of their bit-prefix counts, if ``whole``), some at a time, which bounds its temporaries."""
-    out = np.empty((len(x), 256), kind)
-    for i in range(0, len(x), rows):
-        out[i : i + rows] = fn(_heap(x[i : i + rows]) if whole else x[i : i + rows])
+def _mix_top(rows: Iterator, depth: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By bit: the nodes above the buckets' subtrees, what is mixed there and the weight left."""
+    held: list[list] = [[] for _ in range(9)]
+    for r in rows:
+        _add(held[r.k], np.frombuffer(r.nodes, np.uint64), np.frombuffer(r.sums, np.int64 if r.k == 8 else np.float64))
+    merged = [_merge([p[0] for p in h], [p[1] for p in h]) if h else (np.empty(0, np.uint64), np.empty(0)) for h in held]
+    top = min(TOP, depth)
+    if not top or not len(merged[8][0]):
+        return []
+    tree = _Subtree(*merged[8], 0, top - 1)
+    return [(merged[k][0], *tree.descend(tree.climb(k, merged[k][1])[1])) for k in range(8)]
+
+
+def _string_costs(keys: np.ndarray, counts: np.ndarray, depth: int, above: list) -> np.ndarray:
+    """log10 probability of each string's byte after its context."""
+    top = min(TOP, depth)
+    out = np.zeros(len(keys))
+    for which, tree in _subtrees(keys, counts, top, depth):
+        for k in range(8):
+            _, nodes = tree.climb(k)
+            mixed, left = 0.0, 1.0
+            if top:
+                starts, _ = tree.runs(top, k)
+                at = np.searchsorted(above[k][0], (tree.keys[top][starts] & _low(top)) >> np.uint64(8 - k))
+                mixed, left = above[k][1][at], above[k][2][at]
+            one = np.clip(tree.descend(nodes, mixed, left)[0], 1e-12, 1 - 1e-12)[nodes[depth][3]]
+            out[which] += np.log10(np.where(tree.bit(depth, k), one, 1 - one))
     return out
 
 
-class ContextTree:
-    """The frozen mixture: ``child[node, byte before]`` (0: none) and ``cost[node, byte]`` in log10."""
-
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]], depth: int):
-        """levels[d]: sorted (context, byte) strings of depth d and their counts."""
-        contexts: list[np.ndarray] = []
-        entries: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # (row, byte, count) of each depth
-        for d in range(depth + 1):
-            keys, counts = levels[d] if d < len(levels) else (np.empty(0, np.uint64), np.empty(0, np.int64))
-            context, back = np.unique(keys >> np.uint64(8), return_inverse=True)
-            if d and len(context):  # a child hangs on a kept parent
-                below = np.uint64((1 << 8 * (d - 1)) - 1)
-                keep = np.isin(context & below, contexts[d - 1])[back]
-                keys, counts = keys[keep], counts[keep]
-                context, back = np.unique(keys >> np.uint64(8), return_inverse=True)
-            if d == 0 and not len(context):
-                context = np.zeros(1, np.uint64)
-            contexts.append(context)
-            entries.append((back.astype(np.int32), (keys & np.uint64(255)).astype(np.uint8), counts))
-        first = np.cumsum([1, *map(len, contexts)])
-        total = int(first[-1])
-        self.child = np.zeros((total, 256), np.int32)
-        parents: list[np.ndarray] = [np.empty(0, np.int64)]
-        for d in range(1, depth + 1):
-            below = np.uint64((1 << 8 * (d - 1)) - 1)
-            up = np.searchsorted(contexts[d - 1], contexts[d] & below)
-            parents.append(up)
-            self.child[first[d - 1] + up, (contexts[d] >> np.uint64(8 * (d - 1))).astype(np.int64)] = first[d] + np.arange(len(contexts[d]))
-
-        def table(d: int) -> np.ndarray:
-            out = np.zeros((len(contexts[d]), 256))
-            row, byte, counts = entries[d]
-            out[row, byte] = counts
-            return out
-
-        def others(d: int) -> np.ndarray:
-            """What a node's kept children leave."""
-            out = table(d)
-            if len(contexts[d + 1]):
-                row, byte, counts = entries[d + 1]
-                np.subtract.at(out, (parents[d + 1][row], byte), counts)
-            return np.maximum(out, 0, out=out)
-
-        weight: list[np.ndarray] = [np.empty((0, 256), np.float32)] * (depth + 1)
-        weighted = np.empty((0, 256))
-        for d in range(depth, -1, -1):
-            own = _in_rows(_block, table(d))
-            if d == depth:
-                weight[d], weighted = np.ones(own.shape, np.float32), own
-                continue
-            below = _in_rows(_block, others(d))
-            if len(contexts[d + 1]):
-                np.add.at(below, parents[d + 1], weighted)
-            weighted = np.logaddexp(own, below) - np.log(2)
-            weight[d] = np.exp(own - np.log(2) - weighted).astype(np.float32)
-        del below, own, weighted
-        self.cost = np.zeros((total, 256), np.float32)
-        self.cost[0] = -8 * np.log10(2)
-        mixed = left = np.empty(0)
-        for d in range(depth + 1):
-            kt = _in_rows(_kt, table(d))
-            before = (np.zeros_like(kt), np.ones_like(kt)) if d == 0 else (mixed[parents[d]], left[parents[d]])
-            mixed = before[0] + before[1] * weight[d] * kt
-            left = before[1] * (1 - weight[d])
-            del before, kt
-            one = mixed + left * _in_rows(_kt, others(d)) if d < depth else mixed
-            self.cost[first[d] : first[d + 1]] = _in_rows(_byte_costs, np.clip(one, 1e-12, 1 - 1e-12), np.float32, whole=False)
-            weight[d] = weight[d][:0]
-        self.depth = depth
-
-    def costs(self, out: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """log10 probability of each byte of ``out`` at ``at``."""
-        child = self.child.reshape(-1)
-        node = np.ones(len(at), np.int64)
-        best = node
-        for d in range(1, self.depth + 1):
-            node = child[(node << 8) + out[at - d]].astype(np.int64)
-            best = np.where(node > 0, node, best)
-        return self.cost.reshape(-1)[(best << 8) + out[at]].astype(np.float64)
-
-
-def _score(shared, depth: int, norm: float):
+def _answer(shared, depth: int):
+    """To each chunk the costs of its byte strings and the counts of its words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, known, known_log = shared.value
         for batch in batches:
-            for part in parts(batch, 1 << 20):
-                raw, off = buffer_of(part.column("text"))
-                out, base, at = stream(raw, off, depth)
-                total = np.concatenate(([0.0], np.cumsum(tree.costs(out, at))))
-                upto = np.searchsorted(at, base)
-                score = np.diff(total[upto])
-                words, wo = word_hashes(raw, off)
-                end = np.append(wo[1:], 0)[:-1]
-                words = np.insert(words, end, np.uint64(_END_HASH))
-                wo = wo + np.arange(len(wo))
-                pos = np.minimum(np.searchsorted(known, words), max(len(known) - 1, 0))
-                hit = known[pos] == words if len(known) else np.zeros(len(words), bool)
-                logs = np.concatenate(([0.0], np.cumsum(np.where(hit, known_log[pos] if len(known) else 0.0, 0.0))))
-                hits = np.concatenate(([0], np.cumsum(hit)))
-                rare = words[~hit].astype(np.int64)  # each once a text, with how often
-                row = np.repeat(np.arange(len(wo) - 1), np.diff(wo - hits[wo]))
-                order = np.lexsort((rare, row))
-                rare, row = rare[order], row[order]
-                first = np.flatnonzero(np.concatenate(([True], (rare[1:] != rare[:-1]) | (row[1:] != row[:-1])))) if len(rare) else np.empty(0, np.int64)
-                times = np.diff(np.append(first, len(rare)))
-                ro = pa.array(np.searchsorted(row[first], np.arange(len(wo))).astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id"), pa.array(np.diff(wo), pa.int64()), pa.array(np.diff(hits[wo]), pa.int64()), pa.array(np.diff(logs[wo])),
-                        pa.array(score), pa.array(np.diff(upto), pa.int64()), pa.ListArray.from_arrays(ro, pa.array(rare[first])), pa.ListArray.from_arrays(ro, pa.array(times)),
-                    ],
-                    ["doc_id", "n_tokens", "n_known", "base_score", "score", "n_bytes", "rare", "times"],
-                )
+            for i in range(batch.num_rows):
+                kind, chunks, asked = (batch.column(c)[i].as_py() for c in ("kind", "chunks", "asked"))
+                keys, counts = (_expand(batch.column(c)[i].as_py(), c == "keys") for c in ("keys", "counts"))
+                values = _string_costs(keys, counts, depth, shared.value) if kind == 0 else counts
+                for chunk, blob in zip(chunks, asked):
+                    own = values[np.searchsorted(keys, _expand(blob, True))]
+                    own = _squeeze_costs(own) if kind == 0 else _squeeze(own)
+                    yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([chunk], pa.int64()), pa.array([blob], pa.binary()), pa.array([own], pa.binary())], ["kind", "chunk", "keys", "answers"])
 
     return run
 
 
-def score(docs: DataFrame, train: Column, *, depth: int = 6, contexts: int = 1 << 16, frequent: int = 1 << 17) -> DataFrame:
-    """Rows (doc_id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte), one for each row of docs."""
+def _find(keys: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Where in sorted keys each asked one is; asking in order reads memory in order."""
+    order = np.argsort(asked)
+    out = np.empty(len(asked), np.int64)
+    out[order] = np.searchsorted(keys, asked[order])
+    return out
+
+
+def _score(depth: int, norm: float):
+    def known(group: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
+        rows = group.filter(pc.equal(group.column("kind"), kind))
+        keys = [_expand(b, True) for b in rows.column("keys").to_pylist()]
+        blobs = rows.column("answers").to_pylist()
+        if kind == 0:
+            values = [_expand_costs(b, len(k)) for k, b in zip(keys, blobs)]
+        else:
+            values = [_expand(b) for b in blobs]
+        keys, values = np.concatenate(keys), np.concatenate(values)
+        order = np.argsort(keys)
+        return keys[order], values[order]
+
+    def fn(group: pa.Table) -> pa.RecordBatch:
+        strings, costs = known(group, 0)
+        vocabulary, counts = known(group, 1)
+        logs = np.log10((counts + 0.1) / norm)
+        blob = group.filter(pc.equal(group.column("kind"), 2)).column("keys")[0].as_buffer()
+        found = []
+        for part in pa.ipc.open_stream(blob):
+            raw, off = buffer_of(part.column("text"))
+            out, base, at = stream(raw, off, depth)
+            total = np.concatenate(([0.0], np.cumsum(costs[_find(strings, grams(out, at, depth))].astype(np.float64))))
+            upto = np.searchsorted(at, base)
+            words, wo = word_hashes(raw, off)
+            words = np.insert(words, wo[1:], np.uint64(_END_HASH))
+            wo = wo + np.arange(len(wo))
+            pos = _find(vocabulary, words)
+            upto_logs = np.concatenate(([0.0], np.cumsum(logs[pos])))
+            hits = np.concatenate(([0], np.cumsum(counts[pos] > 0)))
+            found.append(
+                pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array(np.diff(wo), pa.int64()), pa.array(np.diff(hits[wo]), pa.int64()), pa.array(np.diff(upto_logs[wo])), pa.array(np.diff(total[upto])), pa.array(np.diff(upto), pa.int64())],
+                    ["doc_id", "n_tokens", "n_known", "base_score", "score", "n_bytes"],
+                )
+            )
+        return pa.Table.from_batches(found).combine_chunks().to_batches()[0]
+
+    return fn
+
+
+def score(docs: DataFrame, train: Column, *, depth: int = 6, frequent: int = 1 << 17, chunk_bytes: int = 16 << 20) -> DataFrame:
+    """Rows (doc_id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte), one for each row of docs.
+
+    ``frequent`` has no effect any more: all words are looked up alike.
+    """
     spark = docs.sparkSession
-    texts = bounded(docs).select("doc_id", "text")
+    texts = bounded(docs).select("doc_id", "text", F.coalesce(train, F.lit(False)).alias("train"))
     buckets = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
     keys = ["kind", "bucket"]
-    merged = store(
-        docs.where(train).select("text").mapInArrow(_count(depth, buckets), _COUNTS)
-        .repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_grouped(keys, _sum_up), "kind int, total long, distinct long, keys binary, counts binary")
-    )
+    merged = store(texts.mapInArrow(_count(depth, buckets, chunk_bytes), _BLOCKS).repartition(buckets, *keys).sortWithinPartitions(*keys).mapInArrow(_grouped(keys, _gather), _GATHERED))
     totals = {r.kind: (r.total, r["distinct"]) for r in merged.groupBy("kind").agg(F.sum("total").alias("total"), F.sum("distinct").alias("distinct")).collect()}
-    positions, (tokens, words) = totals.get(0, (0, 0))[0], totals.get(1, (0, 0))
-    held = [[] for _ in range(depth + 1)]
-    for r in merged.where("kind = 0").mapInArrow(_prune(depth, max(1, -(-positions // contexts))), "depth int, keys binary, counts binary").toLocalIterator():
-        held[r.depth].append((np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["counts"], np.int64)))
-    levels = [_merge([k for k, _ in h], [c for _, c in h]) if h else (np.empty(0, np.uint64), np.empty(0, np.int64)) for h in held]
-    tree = ContextTree(levels, depth)
+    tokens, words = totals.get(1, (0, 0))
     norm = tokens + 0.1 * (words + 1)
-    pieces = merged.where("kind = 1").mapInArrow(_frequent(max(1, -(-tokens // frequent))), "keys binary, counts binary").collect()
-    known = np.concatenate([np.empty(0, np.uint64), *(np.frombuffer(r["keys"], np.uint64) for r in pieces)])
-    known_count = np.concatenate([np.empty(0, np.int64), *(np.frombuffer(r["counts"], np.int64) for r in pieces)])
-    order = np.argsort(known)
-    shared = spark.sparkContext.broadcast((tree, known[order], np.log10((known_count[order] + 0.1) / norm)))
-    scored = store(
-        texts.mapInArrow(_score(shared, depth, norm), "doc_id long, n_tokens long, n_known long, base_score double, score double, n_bytes long, rare array<long>, times array<long>")
-        .withColumn("uid", F.monotonically_increasing_id())
+    risen = merged.where("kind = 0").select("keys", "counts").mapInArrow(_rise(depth), "k int, nodes binary, sums binary")
+    shared = spark.sparkContext.broadcast(_mix_top(risen.toLocalIterator(), depth))
+    answers = merged.where("kind < 2").mapInArrow(_answer(shared, depth), "kind int, chunk long, keys binary, answers binary")
+    rows = merged.where("kind = 2").select("kind", F.col("chunks")[0].alias("chunk"), F.col("asked")[0].alias("keys"), F.lit(b"").alias("answers"))
+    scored = (
+        answers.union(rows).repartition(2 * buckets, "chunk").sortWithinPartitions("chunk", "kind")
+        .mapInArrow(_grouped(["chunk"], _score(depth, norm)), "doc_id long, n_tokens long, n_known long, base_score double, score double, n_bytes long")
     )
-    asked = scored.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("uid", F.col("x.rare").alias("word"), F.col("x.times").alias("n"))
-    vocabulary = merged.where("kind = 1").select("keys", "counts").mapInArrow(_vocabulary, "word long, c long")
-    found = asked.join(vocabulary, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    rest = found.groupBy("uid").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("more"), F.sum(F.col("n") * F.log10((F.col("c") + 0.1) / F.lit(norm))).alias("logs")
-    ).select(F.col("uid").alias("u"), "more", "logs")
-    out = scored.join(rest, F.col("uid") == F.col("u"), "left")
-    return out.select(
-        "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("base_score") + F.coalesce("logs", F.lit(0.0))).alias("base_score"), "score", (-F.col("score") / F.col("n_bytes") / F.log10(F.lit(2.0))).alias("bits_per_byte"),
+    return scored.select(
+        "doc_id", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score", (-F.col("score") / F.col("n_bytes") / F.log10(F.lit(2.0))).alias("bits_per_byte"),
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import math
 import zlib
 
 import numpy as np
@@ -320,3 +321,43 @@ def test_chat(spark):
     whole = "".join(r.formatted for r in sorted((r for r in formatted.collect() if r.conv_id == 1), key=lambda r: r.part))
     assert list(read_back(iter([whole]))) == [("user", trap), ("assistant", trap)] and out[1].formatted_chars == len(whole)
     assert digests(format_conversations(df.limit(0))).count() == 0
+
+
+def test_ctw_keeps_every_context(spark):
+    """Scores equal a tree of all contexts by brute force, one seen once among 100,000 positions too."""
+    depth, lgamma = 6, np.vectorize(math.lgamma)
+    texts = ["ab ba " * 12000, "abra cadabra", "quartz", "zu quartz", None, "abracadabra quark", "ab"]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    held = {5, 6}
+    stream = lambda t: [10] * depth + [b for w in words(t) for b in w + b" "] + [10]
+    counts = collections.defaultdict(lambda: [0, 0])
+    for i, t in enumerate(texts):
+        s = stream(t)
+        for p in range(depth, len(s)) if i not in held else ():
+            for d in range(depth + 1):
+                for k in range(8):
+                    counts[tuple(s[p - d : p]), k, s[p] >> (8 - k)][s[p] >> (7 - k) & 1] += 1
+    below = collections.defaultdict(float)
+    share = {}
+    for node in sorted(counts, key=lambda n: -len(n[0])):
+        zero, one = counts[node]
+        own = float(lgamma(zero + 0.5) + lgamma(one + 0.5) - lgamma(zero + one + 1) - np.log(np.pi))
+        weighted = own if len(node[0]) == depth else np.logaddexp(own, below[node]) - np.log(2)
+        share[node] = np.exp(own - (0 if len(node[0]) == depth else np.log(2)) - weighted)
+        if node[0]:
+            below[node[0][1:], node[1], node[2]] += weighted
+    def cost(s, p, k):
+        mixed, left = 0.0, 1.0
+        for d in range(depth + 1):
+            node = tuple(s[p - d : p]), k, s[p] >> (8 - k)
+            zero, one = counts.get(node, (0, 0))
+            w = 1.0 if d == depth else share.get(node, 0.5)
+            mixed, left = mixed + left * w * (one + 0.5) / (zero + one + 1), left * (1 - w)
+        return np.log10(mixed if s[p] >> (7 - k) & 1 else 1 - mixed)
+    docs = spark.createDataFrame(rows, DOCS)
+    for chunk_bytes in (16 << 20, 10):
+        out = {r.doc_id: r for r in ctw.score(docs, ~F.col("doc_id").isin(*held), chunk_bytes=chunk_bytes).collect()}
+        assert len(out) == len(rows)
+        for i in range(1, len(texts)):
+            s = stream(texts[i])
+            assert out[i].score == pytest.approx(sum(cost(s, p, k) for p in range(depth, len(s)) for k in range(8)), rel=1e-5)
