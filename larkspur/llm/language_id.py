@@ -12,6 +12,13 @@ Fitting takes at most ``per_language`` labelled texts of each language (those
 with the smallest hash), a documented bound; everything else covers all rows
 and whole texts.
 
+Ridge outputs do not tell a text of no known language from others (their best
+is near 0.45 for either), so :func:`identify` can add a likeness: the n-grams
+of the text's words without digits, letters only, have on average this root of
+the share of pieces of labelled texts that hold them, in the language where
+that is most. It is taken over pieces of ``PIECE`` bytes, so that long texts
+compare with short ones; a text without such an n-gram has none (null).
+
 A null text, an empty one and one without any letter gives ``und`` and score
 0, as does every text when nothing was labelled. Ties go to the language first
 in code-point order. Repeated rows each come back; an empty table gives an
@@ -29,10 +36,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import bounded
-from larkspur.llm.textkernel import _LOWER, _WORD, SLICE, buffer_of, slices
+from larkspur.llm.textkernel import _LOWER, _WORD, SLICE, _word_spans, buffer_of, slices
 
 GRAMS = (2, 3, 4)
 _FOLD = np.where(_WORD, _LOWER, 32).astype(np.uint8)
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
+#: Bytes of a text over which n-grams are compared for the likeness.
+PIECE = 2048
 _MUL = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 
 
@@ -114,6 +125,49 @@ def scores(model: KernelModel, column: pa.Array, rows: int = 64) -> np.ndarray:
     return out
 
 
+def _letters(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts as the letters of their words without digits, runs of all else as one blank."""
+    starts, ends = _word_spans(raw, off)
+    digits = np.concatenate(([0], np.cumsum((raw >= 48) & (raw <= 57))))
+    letter = _LETTER[raw]
+    letter[_WORD[raw]] &= np.repeat(digits[ends] == digits[starts], ends - starts)
+    after = np.zeros(len(raw), bool)
+    after[1:] = letter[:-1]
+    after[off[:-1][off[:-1] < len(raw)]] = False
+    keep = letter | after
+    return np.where(letter, raw, 32).astype(np.uint8)[keep], np.concatenate(([0], np.cumsum(keep)))[off]
+
+
+def _pieces(column: pa.Array, bins: int, rows: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Presence vectors of the pieces of texts, and the row of each."""
+    raw, off = _letters(*buffer_of(column))
+    many = np.maximum(-(-np.diff(off) // PIECE), 1)
+    row = np.repeat(np.arange(len(many)), many)
+    cuts = np.append(off[row] + PIECE * (np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)), off[-1])
+    for i in range(0, len(row), rows):
+        j = min(i + rows, len(row))
+        yield presence(raw[cuts[i] : cuts[j]], cuts[i : j + 1] - cuts[i], bins), row[i:j]
+
+
+def fit_likeness(texts: list[str], labels: list[str], languages: list[str], bins: int) -> np.ndarray:
+    """By n-gram bin and language, the root of the share of labelled pieces that hold it."""
+    held, number = np.zeros((bins, len(languages))), np.zeros(len(languages))
+    for i, language in enumerate(languages):
+        for x, _ in _pieces(pa.array([t for t, y in zip(texts, labels) if y == language], pa.large_string()), bins):
+            held[:, i] += x.sum(0)
+            number[i] += len(x)
+    return np.sqrt(held / np.maximum(number, 1)).astype(np.float32)
+
+
+def likeness(share: np.ndarray, column: pa.Array) -> np.ndarray:
+    """Of each text its likeness to the nearest language; nan without an n-gram."""
+    total, grams = np.zeros((len(column), share.shape[1])), np.zeros(len(column))
+    for x, row in _pieces(column, len(share)):
+        np.add.at(total, row, x @ share)
+        np.add.at(grams, row, x.sum(1))
+    return np.where(grams > 0, total.max(1) / np.maximum(grams, 1), np.nan)
+
+
 def labelled_sample(docs: DataFrame, train: Column, per_language: int) -> list:
     """At most ``per_language`` (text, lang) rows of each language, by smallest hash of the id.
 
@@ -131,10 +185,11 @@ def labelled_sample(docs: DataFrame, train: Column, per_language: int) -> list:
     return sorted(rows, key=lambda r: (r.doc_id, r.lang, r.text))
 
 
-def identify(docs: DataFrame, train: Column, *, per_language: int = 400, landmarks: int = 160, bins: int = 1 << 15) -> DataFrame:
-    """The columns of docs and ``lang_pred``, ``score`` (0 to 1); learns from rows where ``train`` holds."""
+def identify(docs: DataFrame, train: Column, *, per_language: int = 400, landmarks: int = 160, bins: int = 1 << 15, with_likeness: bool = False) -> DataFrame:
+    """The columns of docs and ``lang_pred``, ``score`` (0 to 1), ``likeness`` if asked; learns from rows where ``train`` holds."""
     rows = labelled_sample(docs.select("doc_id", "text", "lang"), train, per_language)
     model = fit_kernel([r.text for r in rows], [r.lang for r in rows], landmarks=landmarks, bins=bins)
+    share = fit_likeness([r.text for r in rows], [r.lang for r in rows], model.languages, bins) if with_likeness and model else None
     names = docs.columns
     reading = bounded(docs).withColumn("__letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     keep = docs.schema
@@ -150,9 +205,14 @@ def identify(docs: DataFrame, train: Column, *, per_language: int = 400, landmar
                 best = s.argmax(1)
                 score = np.where(letter, np.clip((s.max(1).astype(np.float64) + 1) / 2, 0, 1), 0.0)
                 pred = [model.languages[b] if ok else "und" for b, ok in zip(best, letter)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
+            added = [pa.array(pred, pa.string()), pa.array(score, pa.float64())]
+            if with_likeness:
+                like = np.full(n, np.nan) if share is None or n == 0 else likeness(share, batch.column("text"))
+                added.append(pa.array(like, pa.float64(), from_pandas=True))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *added], [*names, *more])
 
     from pyspark.sql import types as T
 
-    schema = T.StructType([*keep.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    more = ["lang_pred", "score", *(["likeness"] if with_likeness else [])]
+    schema = T.StructType([*keep.fields, *(T.StructField(c, T.StringType() if c == "lang_pred" else T.DoubleType()) for c in more)])
     return reading.mapInArrow(run, schema)

@@ -43,3 +43,13 @@ def test_stages(spark):
 
 def test_stage_list():
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "secrets", "mixing", "packing"] and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_language_rejects_unlike_texts(spark):
+    rng = np.random.default_rng(6)
+    vocabulary = {"en": ["the", "thing", "with", "that", "other", "house"], "de": ["der", "nicht", "schön", "über", "haus", "andere"]}
+    rows = [(i, " ".join(rng.choice(vocabulary[lang], 40)), lang, "s", 0) for i in range(200) for lang in [["en", "de"][i % 2]]]
+    good = [(300, "The other house!! 123", None, "s", 0), (301, "that *** thing 4f9a0c77e1 " * 2000, None, "s", 0), (302, "nicht", None, "s", 0), (303, "x", None, "s", 0)]
+    bad = [(400, "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan", None, "s", 0), (401, "все люди рождаются свободными", None, "s", 0), (402, "zqxjk vwpfq " * 3000, None, "s", 0), (403, "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz  "), 400)), None, "s", 0)]
+    out = corpus_pipeline.language(spark, spark.createDataFrame([*rows, *good, *bad], DOCS), "")
+    assert {r.doc_id for r in out.collect()} == {r[0] for r in [*rows, *good]}
