@@ -31,10 +31,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each near-duplicate group; rows without an id stay."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("of")).distinct()
-    named = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.join(kept, F.col("doc_id") == F.col("of")).drop("of").unionByName(docs.where("doc_id is null"))
+    """Keep one row of each group of near-duplicate rows: of the smallest id (null last), then of the smallest hash of the row.
+
+    Rows are told apart by a stored key, so rows that share an id, or have
+    none, are copies only if their texts are.
+    """
+    names = docs.columns
+    rows = store(docs.withColumn("__key", F.monotonically_increasing_id()))
+    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id"), F.xxhash64(*names).alias("hash"), F.col("__key").alias("of"))
+    group = near_duplicates(rows.select(F.col("__key").alias("doc_id"), "text")).select(F.col("doc_id").alias("member"), "component_id")
+    kept = rows.select("__key", first.alias("first")).join(group, F.col("__key") == F.col("member")).groupBy("component_id").agg(F.min("first").alias("first"))
+    return rows.join(kept.select("first.of"), F.col("__key") == F.col("of")).select(*names)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -53,3 +53,17 @@ def test_language_rejects_unlike_texts(spark):
     bad = [(400, "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan", None, "s", 0), (401, "все люди рождаются свободными", None, "s", 0), (402, "zqxjk vwpfq " * 3000, None, "s", 0), (403, "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz  "), 400)), None, "s", 0)]
     out = corpus_pipeline.language(spark, spark.createDataFrame([*rows, *good, *bad], DOCS), "")
     assert {r.doc_id for r in out.collect()} == {r[0] for r in [*rows, *good]}
+
+
+def test_deduplicate_repeated_and_null_ids(spark):
+    rng = np.random.default_rng(7)
+    a, b, c, d = (" ".join(rng.choice([f"w{i}" for i in range(60)], 40)) for _ in range(4))
+    rows = [(1, b), (5, a), (5, b), (5, b + " end"), (6, a), (7, c), (7, d), (None, c), (None, d + " end"), (None, "one two three four five six"), (None, "one two three four five six"), (8, d)]
+    rows = [(i, t, "en", f"s{n}", 0) for n, (i, t) in enumerate(rows)]
+    want = collections.Counter([(1, b), (5, a), (7, c), (7, d), (None, "one two three four five six")])
+    held = []
+    for order in (rows, rows[::-1]):
+        out = corpus_pipeline.deduplicate(spark, spark.createDataFrame(order, DOCS).repartition(3), "").collect()
+        assert collections.Counter((r.doc_id, r.text) for r in out) == want
+        held.append(sorted(map(tuple, out), key=str))
+    assert held[0] == held[1]
