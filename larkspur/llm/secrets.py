@@ -1,7 +1,10 @@
 """Secret scanning with a random forest that removes false positives.
 
 Candidates are runs of at least ``SHORTEST`` key-like characters with a digit,
-or with letters of both cases, found with numpy in whole texts. A forest
+or with letters of both cases, found with numpy in whole texts; from ``SHORT``
+characters on where a key word and an assignment stand right before them. An
+equals sign belongs to one only as padding at its end, so that of
+``API_KEY=value`` the value alone is one. A forest
 trained from labelled findings decides which of them are secrets, from their
 length, character classes and transitions, the share covered by dictionary
 words, path or address marks around them, and the neighbouring words.
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import bounded, parts
 from larkspur.llm.textkernel import buffer_of
 
-SHORTEST = 16
+SHORTEST, SHORT = 16, 8
 BEFORE, AFTER = 64, 16
 #: Words of a dictionary for coverage, and words that speak for or against a key.
 DICTIONARY = (
@@ -51,6 +54,12 @@ PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "ghs_", "glpat-", "xoxb-", "xoxp-",
 
 _KEYCHAR = np.zeros(256, bool)
 _KEYCHAR[[*range(48, 58), *range(65, 91), *range(97, 123), *b"+/=_-."]] = True
+_EQUALS = ord("=")
+_LOOSE = np.zeros(256, bool)  # may stand between an assignment and its value
+_LOOSE[[*b" \t\"'`"]] = True
+#: A name and an assignment right before a value, and the words of a name.
+_ASSIGNED = re.compile(r"([A-Za-z0-9_.\-]+)[\"'`]?[ \t]*(?::=|=>|=|:)[ \t]*[\"'`]?$")
+_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _KIND = np.zeros(256, np.int64)  # 0 other, 1 digit, 2 capital, 3 small
 _KIND[48:58], _KIND[65:91], _KIND[97:123] = 1, 2, 3
 _VOWEL = frozenset("aeiouy")
@@ -125,6 +134,7 @@ def labelled_findings(n: int = 4000, seed: int = 5) -> list[tuple[str, str, str,
             lambda: draw(hexa, pick([32, 40, 40, 64])), lambda: draw(hexa, pick([32, 40, 64])).upper(), lambda: draw(base62, int(rng.integers(20, 64))),
             lambda: draw(base64s, int(rng.integers(22, 60))) + pick(["", "=", "=="]), lambda: pick(PREFIXES) + draw(base62, int(rng.integers(16, 40))),
             lambda: "eyJ" + draw(base62, 20) + "." + draw(base62, 40) + "." + draw(base62, 30),
+            lambda: draw(base62, int(rng.integers(SHORT, SHORTEST))),
         ])()
 
     def other() -> tuple[str, str, str]:
@@ -141,6 +151,7 @@ def labelled_findings(n: int = 4000, seed: int = 5) -> list[tuple[str, str, str,
             lambda: (draw("0123456789", int(rng.integers(16, 24))), lead + pick(["number ", "order ", "isbn ", "+", "card "]), " "),
             lambda: (made(int(rng.integers(9, 16))) + pick(["", ".", "1", "."]) + made(3).title(), made(3) + " " + made(2) + " ", " "),
             lambda: (f"{rng.integers(2000, 2030)}-{rng.integers(10, 13)}-{rng.integers(10, 29)}-{words(2, '-')}", lead, " "),
+            lambda: (pick([f"{words(2, pick(['_', '-', '']))}{rng.integers(99)}"[:15], f"{words(1).title()}{words(1).title()}"[:15], f"{rng.integers(10**8, 10**12)}", f"{rng.integers(2000, 2030)}-{rng.integers(10, 13)}-{rng.integers(10, 29)}", pick(["changeme1", "password123", "xxxxxxx1", "EXAMPLE_1", "test1234"])]), lead + pick(["token = \"", "password: \"", "key: \"", "secret = \"", "session: \"", "client = \"", "access: \""]), "\""),
             lambda: (draw(base64s, 200) + "==", lead + "data:image/png;base64,", "\""),
             lambda: (f"v{rng.integers(9)}.{rng.integers(99)}.{rng.integers(99)}-{words(2, '-')}", lead + "version ", " "),
         ])()
@@ -238,26 +249,56 @@ class Scanner:
         return self.forest.predict(np.array([features(v, b, a, self.odds) for v, b, a in findings])) if findings else np.empty(0)
 
 
+def _key_characters(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Which bytes are key-like; equals signs only in a run that ends a run of others."""
+    inside = _KEYCHAR[raw]
+    sign = raw == _EQUALS
+    at = np.flatnonzero(sign)
+    if not len(at):
+        return inside
+    row = np.searchsorted(off, at, side="right")
+    first = np.concatenate(([True], (at[1:] != at[:-1] + 1) | (row[1:] != row[:-1])))
+    run = np.cumsum(first) - 1
+    start, end = at[first], at[np.append(first[1:], True)]
+    row = row[first]
+    leads = (start > off[row - 1]) & inside[np.maximum(start - 1, 0)]
+    follows = (end + 1 < off[row]) & inside[np.minimum(end + 1, len(raw) - 1)]
+    inside[at] = (leads & ~follows & (end - start < 2))[run]
+    return inside
+
+
+def _names_a_key(before: str) -> bool:
+    found = _ASSIGNED.search(before)
+    return bool(found) and any(w.lower() in KEY_WORDS for w in _NAME.findall(found[1]))
+
+
 def candidates(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows, first and end bytes of the candidates of a batch; full stops at an end don't belong to one."""
-    inside = _KEYCHAR[raw]
+    inside = _key_characters(raw, off)
     before, after = np.zeros(len(raw), bool), np.zeros(len(raw), bool)
     before[1:], after[:-1] = inside[:-1], inside[1:]
     before[off[:-1][off[:-1] < len(raw)]] = False
     after[off[1:][off[1:] > 0] - 1] = False
     start, end = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-    long = end - start >= SHORTEST
+    long = end - start >= SHORT
     start, end = start[long], end[long]
     while len(start) and (dot := raw[end - 1] == 46).any():
         end = end - dot
-        keep = end - start >= SHORTEST
+        keep = end - start >= SHORT
         start, end = start[keep], end[keep]
     kind = _KIND[raw]
     counts = [np.concatenate(([0], np.cumsum(kind == k))) for k in (1, 2, 3)]
     digit, capital, small = (c[end] - c[start] for c in counts)
     keep = (digit > 0) | (capital > 1) & (small > 1)
     start, end = start[keep], end[keep]
-    return np.searchsorted(off, start, side="right") - 1, start, end
+    row = np.searchsorted(off, start, side="right") - 1
+    keep = end - start >= SHORTEST
+    brief = np.flatnonzero(~keep)
+    brief = brief[start[brief] > off[row[brief]]]
+    brief = brief[_LOOSE[raw[start[brief] - 1]] | np.isin(raw[start[brief] - 1], [_EQUALS, 58, 62])]
+    for i in brief:
+        keep[i] = _names_a_key(raw[max(off[row[i]], start[i] - BEFORE) : start[i]].tobytes().decode("utf-8", "replace"))
+    return row[keep], start[keep], end[keep]
 
 
 def _findings(raw: np.ndarray, off: np.ndarray, scanner: Scanner) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

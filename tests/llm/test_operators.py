@@ -134,6 +134,25 @@ def test_secrets(spark):
     assert secrets.scan(docs, secrets.trained(own)).count() >= 3 and secrets.scan(docs.limit(0)).count() == 0
 
 
+def test_secrets_assigned(spark):
+    """The value alone of unquoted assignments, padding kept, and short values after a key word."""
+    key, coded = hashlib.sha1(b"k").hexdigest(), "Zm9vYmFyQmF6UXV4MTIzNDU2Nzg5MDEyMw=="
+    whole = [
+        f"API_KEY={key}", f"export SECRET_KEY={key}\nnext", f"see https://h.example/x?lang=en&access_token={key}&page=2", f"CLIENT_SECRET={coded}", f'secret: "{coded}" end',
+        'password = "Xk9vQ2pLm"', "DB_PASSWORD=Xk9vQ2pLm", "apiKey: 'q7Rt2ZpW4x'",
+    ]
+    values = [key, key, key, coded, coded, "Xk9vQ2pLm", "Xk9vQ2pLm", "q7Rt2ZpW4x"]
+    plain = ["password = \"section12\"", "the monkey Xk9vQ2pLm sat", "name = \"Xk9vQ2pLm\"", "a=b==c=1", "====", "=", f"commit={hashlib.sha1(b'd').hexdigest()}"]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate([*whole, *plain])], DOCS)
+    found = collections.defaultdict(list)
+    for r in secrets.scan(docs).collect():
+        if r.is_secret:
+            found[r.doc_id].append((r.start, r.length))
+    assert found == {i: [(t.index(v), len(v))] for i, (t, v) in enumerate(zip(whole, values))}
+    hidden = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    assert hidden == {i: t for i, t in enumerate([*(t.replace(v, "[SECRET]") for t, v in zip(whole, values)), *plain])}
+
+
 def test_ctw(spark, corpus):
     docs = spark.createDataFrame(corpus, DOCS)
     train = remainder(F.col("doc_id"), 10) != 0
