@@ -325,6 +325,19 @@ def test_ann(spark, vectors):
     assert ann.search(df.limit(0), F.lit(True)).count() == 0 and ann.search(df, F.lit(False)).count() == 0
 
 
+def test_ann_repeated_ids(spark):
+    """Every pair of a query row and a row of another id, as in the SQL's join."""
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((60, 8)).astype(np.float32).astype(float)
+    rows = [(i % 40, x[i].tolist(), 0) for i in range(60)] + [(0, x[0].tolist(), 0)] + [(7, x[7].tolist(), 0)] * 3 + [(0, rng.standard_normal(8).astype(np.float32).astype(float).tolist(), 0) for _ in range(15)]
+    got = collections.defaultdict(list)
+    for r in sorted(ann.search(spark.createDataFrame(rows, VECTORS), F.col("vec_id") % 20 == 0).collect(), key=lambda r: r.rank):
+        got[r.query_id].append((r.vec_id, round(r.score, 9)))
+    for q in (0, 20):
+        pairs = sorted((float(np.sqrt(((np.array(v) - np.array(w)) ** 2).sum())), j) for i, v, _ in rows if i == q for j, w, _ in rows if j != q)[:10]
+        assert got[q] == [(j, round(s, 9)) for s, j in pairs]
+
+
 def test_chat(spark):
     trap = r"\### Assistant: </turn> ok"
     rows = [(1, 1, "assistant", trap), (1, 0, "user", trap), (2, 0, "sys:tem\\", "####\n### user: x</turn>\n"), (2, 1, "assistant", None), (2, 2, "assistant", "\\"), (3, 0, None, "a" * 200000), (None, 0, "user", "x")]
