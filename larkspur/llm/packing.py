@@ -82,9 +82,9 @@ def curve_keys(ids: np.ndarray, counts: np.ndarray, bins: int = 512, seed: int =
     return hilbert_key(cells)
 
 
-def _tokenise(path: str, end: int):
+def _tokenise(path: str, end: int, specials: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = load(path)
+        encoder = load(path, specials)
         kind = np.uint16 if encoder.size <= 1 << 16 and end < 1 << 16 else np.uint32
         for batch in batches:
             for part in parts(batch):
@@ -127,10 +127,13 @@ def _cut(length: int, with_ids: bool):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, *, length: int = 2048, end: int = 1, with_ids: bool = True) -> DataFrame:
-    """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (little-endian uint32)."""
+def pack(docs: DataFrame, tokenizer: str, *, length: int = 2048, end: int = 1, specials: bool = True, with_ids: bool = True) -> DataFrame:
+    """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (little-endian uint32).
+
+    ``specials`` says whether strings of special tokens in texts become those tokens.
+    """
     spark = docs.sparkSession
-    tokenised = bounded(docs).select("doc_id", "text").mapInArrow(_tokenise(tokenizer, end), "doc_id long, doc_tokens long, key long, width int, ids binary")
+    tokenised = bounded(docs).select("doc_id", "text").mapInArrow(_tokenise(tokenizer, end, specials), "doc_id long, doc_tokens long, key long, width int, ids binary")
     tokenised = store(tokenised.withColumn("uid", F.monotonically_increasing_id()))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     line = tokenised.select("uid", "doc_tokens", "key", F.xxhash64("uid").alias("tie"))

@@ -4,13 +4,19 @@ A text may be cut before any blank that stands before a visible character:
 the splitting pattern of byte-level BPE always starts a piece there. So texts
 are cut with numpy, only segments not met before are encoded (joined into one
 string and cut again by the tokens' byte lengths), and ids are gathered from a
-bounded cache. The ids are those of the ``tokenizers`` file; :func:`load`
-builds a faster encoder from the same file and compares both on sample texts.
+bounded cache. The ids are those of the ``tokenizers`` file: where it declares
+a plain byte-level BPE (:func:`_plain`), a faster encoder is built from its
+merges; any other file is used as it is, text by text.
+
+The strings of special tokens in a text become those tokens, as
+``encode(text, add_special_tokens=False)`` has it; with ``specials=False`` they
+are ordinary text.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -30,7 +36,6 @@ _VISIBLE[0xC3] = True
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 #: The splitting pattern of this kind of vocabulary.
 _PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
-_SAMPLES = ["", " ", "Hello  world's 1234 cafés\n\n\tœuvre!!  ", "a  b  　c", "<|endoftext|> x'll've 'S", "été à la 東京 \U0001f600\r\n x"]
 
 
 def _alphabet() -> dict[str, int]:
@@ -42,27 +47,45 @@ def _alphabet() -> dict[str, int]:
     return out
 
 
-@lru_cache(2)
-def load(path: str) -> "Encoder":
-    return Encoder(path)
+def _plain(spec: dict) -> bool:
+    """Whether a tokenizer file is a byte-level BPE without further rules, its merges in the order of their tokens' ids."""
+    model, vocab = spec["model"], spec["model"].get("vocab", {})
+    split = spec.get("pre_tokenizer") or {}
+    if spec.get("normalizer") or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+        return False
+    rules = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")
+    if model.get("type") != "BPE" or any(model.get(k) for k in rules) or any(t[k] for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip")):
+        return False
+    merged = [vocab["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in model["merges"]]
+    return all(a < b for a, b in zip(merged, merged[1:])) and len(set(vocab.values()) - set(merged) - {t["id"] for t in spec.get("added_tokens", [])}) == 256
+
+
+@lru_cache(4)
+def load(path: str, specials: bool = True) -> "Encoder":
+    return Encoder(path, specials)
 
 
 class Encoder:
     """Batch encoding with a cache of at most ``most`` segments."""
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, specials: bool = True, most: int = 600_000):
         import tiktoken
         from tokenizers import Tokenizer
 
         exact = Tokenizer.from_file(path)
-        exact.encode_special_tokens = True
+        exact.encode_special_tokens = not specials
         spec = json.load(open(path, encoding="utf-8"))
-        special = {t["id"] for t in spec.get("added_tokens", [])}
-        letters = _alphabet()
-        ranks = {bytes(letters[c] for c in token): i for token, i in spec["model"]["vocab"].items() if i not in special}
-        self._encode = tiktoken.Encoding("own", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        if any(exact.encode(s, add_special_tokens=False).ids != self._encode(s) for s in _SAMPLES):
-            self._encode = lambda s: exact.encode(s, add_special_tokens=False).ids  # another kind of vocabulary: the plain path
+        added = {t["content"].encode(): t["id"] for t in spec.get("added_tokens", []) if t["content"] and (specials or not t.get("special"))}
+        self.added = added
+        # The longest of those that start at the first place where one does.
+        self._marks = re.compile(b"|".join(re.escape(t) for t in sorted(added, key=len, reverse=True))) if added else None
+        self.plain = _plain(spec)
+        self._exact = lambda s: exact.encode(s, add_special_tokens=False).ids
+        ranks: dict[bytes, int] = {}
+        if self.plain:
+            letters, special = _alphabet(), {t["id"] for t in spec.get("added_tokens", [])}
+            ranks = {bytes(letters[c] for c in token): i for token, i in spec["model"]["vocab"].items() if i not in special}
+            self._encode = tiktoken.Encoding("own", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.size = exact.get_vocab_size()
         self._bytes = np.zeros(self.size + 1, np.int64)
         for token, i in ranks.items():
@@ -166,6 +189,45 @@ class Encoder:
 
     def encode(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, one after the other, and how many each row has."""
+        if not self.plain:
+            got = [np.array(self._exact(raw[i:j].tobytes().decode("utf-8", "replace")), np.uint32) for i, j in zip(off[:-1], off[1:])]
+            return (np.concatenate(got) if got else np.empty(0, np.uint32)), np.array([len(g) for g in got], np.int64)
+        marked = self._marked(raw, off)
+        if marked is None:
+            return self._rows(raw, off)
+        # Rows fall into the texts between special tokens, which are encoded alone, and those tokens.
+        cuts, row, special = marked
+        ids, counts = self._rows(raw, cuts)
+        keep = np.repeat(special < 0, counts)
+        kept = np.where(special < 0, counts, 0)
+        at = np.flatnonzero(special >= 0)
+        ids = np.insert(ids[keep], np.cumsum(kept)[at], special[at].astype(np.uint32))
+        return ids, np.bincount(row, np.where(special < 0, counts, 1), len(off) - 1).astype(np.int64)
+
+    def _marked(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """Rows cut at special tokens: the cuts, each part's row, and its special token or -1."""
+        if self._marks is None or not len(raw):
+            return None
+        data = raw.data
+        if not self._marks.search(data):
+            return None
+        cuts, row, special = [0], [], []
+        for i, (lo, hi) in enumerate(zip(off[:-1].tolist(), off[1:].tolist())):
+            at = lo
+            for m in self._marks.finditer(data[lo:hi]) if hi > lo else ():
+                for end, kind in ((lo + m.start(), -1), (lo + m.end(), self.added[m[0]])):
+                    if end > at:
+                        cuts.append(end)
+                        row.append(i)
+                        special.append(kind)
+                        at = end
+            if hi > at:
+                cuts.append(hi)
+                row.append(i)
+                special.append(-1)
+        return np.array(cuts, np.int64), np.array(row, np.int64), np.array(special, np.int64)
+
+    def _rows(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ids, counts = [], []
         for i, j in slices(raw, off, _SLICE // 2):
             if off[j] - off[i] > _SLICE:  # one very long text
