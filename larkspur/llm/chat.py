@@ -8,11 +8,13 @@ texts read back to exactly what went in.
 
 Output comes in parts of about ``part_chars`` characters, so neither rendering
 nor reading back holds a conversation whole: a task streams through sorted
-rows and keeps one turn. (A conversation's digest is sequential by nature; one
-conversation is read by one task.)
+rows and keeps one turn's text, which it escapes piece by piece; reading back
+looks for the next mark and feeds what is before it to the digests, in time
+and memory that don't depend on what the text holds. (A conversation's digest
+is sequential by nature; one conversation is read by one task.)
 
-A null text or role counts as empty, null turns come first, a null id is a
-conversation of its own. Repeated rows are turns of their own. An empty table
+A null text or role counts as empty, null turns come first, and all rows of
+null ids are one conversation. Repeated rows are turns of their own. An empty table
 gives an empty result; further columns are ignored.
 """
 
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from larkspur.llm.common import bounded
-from larkspur.llm.template import compile_template
+from larkspur.llm.template import Slices, compile_template
 
 TEMPLATE = (
     "{% for m in messages %}### {{ m.role | escape_role }}: "
@@ -36,14 +38,43 @@ TEMPLATE = (
 _CONTROL = re.compile(r"\\|#{3,}|<(?=/turn>)")
 _ROLE = re.compile(r"\\|#{3,}|<(?=/turn>)|:")
 _UNESCAPE = re.compile(r"\\(.)", re.S)
+_HASHES = re.compile("#+")
+_END = "</turn>"
 
 
 def _guard(m: re.Match) -> str:
     return "".join("\\" + c for c in m[0])
 
 
-def escape(text: str | None) -> str:
-    return _CONTROL.sub(_guard, text or "")
+#: Characters of a text that are escaped at once.
+PIECE = 1 << 18
+
+
+def escape(text: str | None) -> str | Slices:
+    text = text or ""
+    return _CONTROL.sub(_guard, text) if len(text) <= PIECE else Slices(lambda: _escaped(text))
+
+
+def _escaped(text: str) -> Iterator[str]:
+    """A long text escaped piece by piece; no piece ends within a run of hash signs or an end mark."""
+    at = 0
+    while at < len(text):
+        end = min(at + PIECE, len(text))
+        if end < len(text) and text[end - 1] == text[end] == "#":
+            head = text[at:end].rstrip("#")
+            run = _HASHES.match(text, at + len(head)).end()
+            yield _CONTROL.sub(_guard, head)
+            first = at + len(head)
+            for i in range(first, run, PIECE):  # the run itself, of any length
+                part = text[i : min(i + PIECE, run)]
+                yield part if run - first < 3 else part.replace("#", "\\#")
+            at = run
+            continue
+        cut = text.rfind("<", max(at, end - len(_END)), end)  # maybe the start of a mark
+        if cut > at and end < len(text):
+            end = cut
+        yield _CONTROL.sub(_guard, text[at:end])
+        at = end
 
 
 def escape_role(text: str | None) -> str:
@@ -69,6 +100,15 @@ _SCHEMA = "conv_id long, part int, formatted string, mask array<struct<start:int
 _MASK = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
 
+def _short(pieces: Iterator[tuple[str, bool]], most: int) -> Iterator[tuple[str, bool]]:
+    for piece, learn in pieces:
+        if len(piece) <= most:
+            yield piece, learn
+        else:
+            for i in range(0, len(piece), most):
+                yield piece[i : i + most], learn
+
+
 def _render(source: str, part_chars: int, rows_out: int = 256):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         render = compile_template(source, {"escape": escape, "escape_role": escape_role})
@@ -82,7 +122,7 @@ def _render(source: str, part_chars: int, rows_out: int = 256):
         for conv, rows in _runs(_conversations(batches)):
             messages = ({"role": r or "", "text": t or ""} for _, r, t in rows)
             part, at, text, mask = 0, 0, [], []
-            for piece, learn in render({"messages": messages}):
+            for piece, learn in _short(render({"messages": messages}), part_chars):
                 if learn and piece:
                     if mask and mask[-1]["stop"] == at and text:
                         mask[-1]["stop"] = at + len(piece)
@@ -119,21 +159,74 @@ def format_conversations(rows: DataFrame, template: str = TEMPLATE, *, part_char
     return sorted_rows.select("conv_id", "role", "text").mapInArrow(_render(template, part_chars), _SCHEMA)
 
 
-_TURN = re.compile(r"### ((?:[^\\:]|\\.)*): ((?:[^\\<]|\\.|<(?!/turn>))*)</turn>\n", re.S)
+def _next(text: str, mark: str, at: int) -> int:
+    """Where the next mark that no backslash guards begins, or -1."""
+    while (i := text.find(mark, at)) >= 0:
+        j = i
+        while j > at and text[j - 1] == "\\":
+            j -= 1
+        if (i - j) % 2 == 0:
+            return i
+        at = i + 1
+    return -1
+
+
+def _open_end(text: str, mark: str, at: int) -> int:
+    """How far text is surely before a mark: what may be a mark's start, and a guard without what it guards, stay."""
+    end = len(text)
+    for k in range(min(len(mark) - 1, end - at), 0, -1):
+        if mark.startswith(text[end - k :]):
+            end -= k
+            break
+    j = end
+    while j > at and text[j - 1] == "\\":
+        j -= 1
+    return end - (end - j) % 2
+
+
+def _events(parts: Iterator[str]) -> Iterator[tuple[str, str]]:
+    """Formatted parts as events: ("role", role), ("text", piece) any number of times, ("end", "")."""
+    rest, inside = "", False
+    for part in parts:
+        rest, at = rest + part, 0
+        while True:
+            if not inside:
+                if len(rest) - at < 4 and "### ".startswith(rest[at:]):
+                    break
+                if not rest.startswith("### ", at):
+                    raise ValueError(f"not a formatted conversation: {rest[at : at + 80]!r}")
+                colon = _next(rest, ":", at + 4)
+                if colon < 0 or colon + 2 > len(rest):
+                    break
+                yield "role", unescape(rest[at + 4 : colon])
+                at, inside = colon + 2, True
+            end = _next(rest, _END, at)
+            if end < 0:
+                upto = _open_end(rest, _END, at)
+                yield "text", unescape(rest[at:upto])
+                at = upto
+                break
+            yield "text", unescape(rest[at:end])
+            if end + len(_END) + 1 > len(rest):  # the line's end is still to come
+                at = end
+                break
+            yield "end", ""
+            at, inside = end + len(_END) + 1, False
+        rest = rest[at:]
+    if rest or inside:
+        raise ValueError(f"not a formatted conversation: {rest[:80]!r}")
 
 
 def read_back(parts: Iterator[str]) -> Iterator[tuple[str, str]]:
     """The (role, text) turns of formatted parts, as they become complete."""
-    rest = ""
-    for part in parts:
-        rest += part
-        at = 0
-        while m := _TURN.match(rest, at):
-            yield unescape(m[1]), unescape(m[2])
-            at = m.end()
-        rest = rest[at:]
-    if rest:
-        raise ValueError(f"not a formatted conversation: {rest[:80]!r}")
+    role, text = "", []
+    for kind, value in _events(parts):
+        if kind == "role":
+            role, text = value, []
+        elif kind == "text":
+            text.append(value)
+        else:
+            yield role, "".join(text)
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,17 +245,20 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
         def texts() -> Iterator[str]:
             nonlocal chars, learned
+            guard = ""  # a backslash whose character is in the next part
             for _, text, mask in rows:
                 chars += len(text)
                 for m in mask:
-                    own = unescape(text[m["start"] : m["stop"]])
+                    own = guard + text[m["start"] : m["stop"]]
+                    guard = own[_open_end(own, "", 0) :]
+                    own = unescape(own[: len(own) - len(guard)])
                     learned += len(own)
                     loss.update(own.encode())
                 yield text
 
-        for role, text in read_back(texts()):
-            turns.update(f"{role}\n{text}\n".encode())
-            n += 1
+        for kind, value in _events(texts()):
+            turns.update(f"{value}\n".encode() if kind == "role" else value.encode() if kind == "text" else b"\n")
+            n += kind == "end"
         out.append((conv, n, turns.hexdigest(), learned, loss.hexdigest(), chars))
         if len(out) >= 1000:
             yield flush()

@@ -8,9 +8,11 @@ is linear in the presence vector, landmarks, whitening and weights fold into
 one (bins x languages) matrix, and a batch of texts is scored as one matrix
 product of its presence vectors.
 
-Fitting takes at most ``per_language`` labelled texts of each language (those
-with the smallest hash), a documented bound; everything else covers all rows
-and whole texts.
+Fitting takes at most ``per_language`` distinct labelled texts of each language
+(those with the smallest hash), ``most`` texts and ``most_bytes`` bytes in all,
+shared out evenly by language; a text beyond its language's share of bytes is
+passed over. These are documented bounds of the sample; everything else covers
+all rows and whole texts.
 
 Ridge outputs do not tell a text of no known language from others (their best
 is near 0.45 for either), so :func:`identify` can add a likeness: the n-grams
@@ -21,8 +23,11 @@ compare with short ones; a text without such an n-gram has none (null).
 
 A null text, an empty one and one without any letter gives ``und`` and score
 0, as does every text when nothing was labelled. Ties go to the language first
-in code-point order. Repeated rows each come back; an empty table gives an
-empty result; other columns pass by unread.
+in code-point order. Repeated rows each come back and count once in fitting;
+rows with a null text or lang teach nothing. An empty table gives an empty
+result; other columns pass by unread, whatever their names: ``prefix`` goes
+before the names of the added columns, and a column of docs that has such a
+name is replaced.
 """
 
 from __future__ import annotations
@@ -34,8 +39,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from larkspur.llm.common import bounded
+from larkspur.llm.common import bounded, map_arrow, prefix_for, quoted
 from larkspur.llm.textkernel import _LOWER, _WORD, SLICE, _word_spans, buffer_of, slices
 
 GRAMS = (2, 3, 4)
@@ -168,51 +174,59 @@ def likeness(share: np.ndarray, column: pa.Array) -> np.ndarray:
     return np.where(grams > 0, total.max(1) / np.maximum(grams, 1), np.nan)
 
 
-def labelled_sample(docs: DataFrame, train: Column, per_language: int) -> list:
-    """At most ``per_language`` (text, lang) rows of each language, by smallest hash of the id.
+def labelled_sample(docs: DataFrame, train: Column, per_language: int, most: int = 20_000, most_bytes: int = 64 << 20) -> list:
+    """Distinct (text, lang) rows within the bounds that the module's notes state, by smallest hash of the text.
 
-    The choice is made on ids and labels alone, first within 64 salts of each
-    language, so that no task gathers a frequent language.
+    The choice is made on labels, hashes and lengths alone, first within 64
+    salts of each language, so that no task gathers a frequent language. What
+    is sent to the tasks to fetch the texts has at most ``most`` rows (or one a
+    language, if there are more languages).
     """
-    chosen = docs.where(train & F.col("lang").isNotNull()).select("doc_id", "lang", F.xxhash64(F.col("doc_id"), F.lit(5)).alias("h"))
-    salted = Window.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy("h", "doc_id")
-    whole = Window.partitionBy("lang").orderBy("h", "doc_id")
-    for w in (salted, whole):
-        chosen = chosen.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= per_language).drop("rank")
-    chosen = chosen.select(F.col("doc_id").alias("id"), F.col("lang").alias("label")).distinct()
-    found = docs.where(train).join(F.broadcast(chosen), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("label")))
-    rows = found.select("doc_id", "text", "lang").where("text is not null").collect()
-    return sorted(rows, key=lambda r: (r.doc_id, r.lang, r.text))
-
-
-def identify(docs: DataFrame, train: Column, *, per_language: int = 400, landmarks: int = 160, bins: int = 1 << 15, with_likeness: bool = False) -> DataFrame:
+    known = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
+    h = F.xxhash64(F.col("text"), F.lit(5))
+    kinds = known.groupBy("lang", h.alias("h")).agg(F.max(F.octet_length("text")).alias("bytes"))
+    kinds = kinds.withColumn("langs", F.lit(max(1, kinds.select("lang").distinct().count())))
+    share = F.least(F.lit(per_language), F.greatest(F.lit(1), F.floor(F.lit(most) / F.col("langs"))))
+    room = F.floor(F.lit(most_bytes) / F.col("langs"))
+    chosen = kinds.where(F.col("bytes") <= room)
+    for by in (["lang", F.pmod("h", F.lit(64))], ["lang"]):
+        w = Window.partitionBy(*by).orderBy("h")
+        chosen = chosen.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= share).withColumn("upto", F.sum("bytes").over(w)).where(F.col("upto") <= room).drop("rank", "upto")
+    chosen = chosen.select(F.col("lang").alias("label"), F.col("h").alias("hash"))
+    found = known.join(F.broadcast(chosen), (F.col("lang") == F.col("label")) & (h == F.col("hash"))).groupBy("label", "hash").agg(F.min("text").alias("text")).collect()
+    return sorted(({"lang": r.label, "text": r.text, "h": r.hash} for r in found), key=lambda r: (r["h"], r["lang"], r["text"]))
+
+
+def identify(
+    docs: DataFrame, train: Column, *, per_language: int = 400, landmarks: int = 160, bins: int = 1 << 15, with_likeness: bool = False, prefix: str = "", most: int = 20_000, most_bytes: int = 64 << 20
+) -> DataFrame:
     """The columns of docs and ``lang_pred``, ``score`` (0 to 1), ``likeness`` if asked; learns from rows where ``train`` holds."""
-    rows = labelled_sample(docs.select("doc_id", "text", "lang"), train, per_language)
-    model = fit_kernel([r.text for r in rows], [r.lang for r in rows], landmarks=landmarks, bins=bins)
-    share = fit_likeness([r.text for r in rows], [r.lang for r in rows], model.languages, bins) if with_likeness and model else None
-    names = docs.columns
-    reading = bounded(docs).withColumn("__letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    keep = docs.schema
+    rows = labelled_sample(docs, train, per_language, most, most_bytes)
+    texts, labels = [r["text"] for r in rows], [r["lang"] for r in rows]
+    model = fit_kernel(texts, labels, landmarks=landmarks, bins=bins)
+    share = fit_likeness(texts, labels, model.languages, bins) if with_likeness and model else None
+    more = [prefix + c for c in ("lang_pred", "score", *(["likeness"] if with_likeness else []))]
+    kept = [f for f in docs.schema.fields if f.name.lower() not in {c.lower() for c in more}]
+    # Columns go by position: the kept ones, the text, and whether it has a letter.
+    p = prefix_for(docs.columns)
+    reading = bounded(docs).select(*(F.col(quoted(f.name)) for f in kept), F.col("text").alias(p + "text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias(p + "letter"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
-            letter = batch.column("__letter").to_numpy(zero_copy_only=False).astype(bool)
+            texts, letter = batch.column(len(kept)), batch.column(len(kept) + 1).to_numpy(zero_copy_only=False).astype(bool)
             if model is None or n == 0:
                 pred, score = ["und"] * n, np.zeros(n)
             else:
-                s = scores(model, batch.column("text"))
+                s = scores(model, texts)
                 best = s.argmax(1)
                 score = np.where(letter, np.clip((s.max(1).astype(np.float64) + 1) / 2, 0, 1), 0.0)
                 pred = [model.languages[b] if ok else "und" for b, ok in zip(best, letter)]
             added = [pa.array(pred, pa.string()), pa.array(score, pa.float64())]
             if with_likeness:
-                like = np.full(n, np.nan) if share is None or n == 0 else likeness(share, batch.column("text"))
+                like = np.full(n, np.nan) if share is None or n == 0 else likeness(share, texts)
                 added.append(pa.array(like, pa.float64(), from_pandas=True))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *added], [*names, *more])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *added], [*(f.name for f in kept), *more])
 
-    from pyspark.sql import types as T
-
-    more = ["lang_pred", "score", *(["likeness"] if with_likeness else [])]
-    schema = T.StructType([*keep.fields, *(T.StructField(c, T.StringType() if c == "lang_pred" else T.DoubleType()) for c in more)])
-    return reading.mapInArrow(run, schema)
+    kinds = (T.StringType(), T.DoubleType(), T.DoubleType())
+    return map_arrow(reading, run, T.StructType([*kept, *(T.StructField(c, k) for c, k in zip(more, kinds))]))

@@ -8,15 +8,19 @@ document of a source then expects target / source size copies; their running
 sum, plus one offset drawn from the seed and the source's name, is cut at the
 integers, and a document is taken once for each integer it crosses.
 
-The running order within a source is by band of sizes, then by id modulo
-``salts``, so that large and small documents are taken evenly. Its prefix sums
-are made in two levels: a window within (source, band, salt) and a window over
-the few totals of these groups, so a source of any share is spread over tasks.
+The running order within a source is by band of sizes, then by a salt of the
+id's digest, so that large and small documents are taken evenly. Its prefix
+sums are made in two levels: a window within (source, band, salt) and a window
+over the few totals of these groups, so a source of any share is spread over
+tasks. Rows that are alike count as one with a number before anything is
+shuffled, so no repeated row or id makes a group large.
 
 A null text has size 0. A null source is a source of its own, the last. Where
 all sizes of a source are 0, its target is 0 and nothing is taken. Rows of a
-repeated id count as documents of their own. An empty table gives an empty
-result; further columns pass through :func:`mixed` unread. The number of
+repeated id are documents of their own. :func:`mix` ranks by id and size and
+:func:`mixed` by a hash of the whole row too, so they may take different rows
+of one band, as many of each source. An empty table gives an empty result; :func:`mix` ignores
+further columns, :func:`mixed` keeps them, whatever their names. The number of
 sources is taken to be small (one row each is ranked in one task).
 """
 
@@ -25,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import store
+from larkspur.llm.common import cols, prefix_for, row_hash, store
 
 _HEX = "0123456789abcdef"
 
@@ -34,13 +38,17 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def _digits(digest: Column, n: int) -> Column:
+    """The first n hex digits of a digest as a number."""
+    total = F.lit(0)
+    for i in range(1, n + 1):
+        total = total * 16 + (F.instr(F.lit(_HEX), F.substring(digest, i, 1)) - 1)
+    return total
+
+
 def _offset(source: Column, seed: int) -> Column:
     """A multiple of 2**-20 in [0, 1) from the digits of an md5 sum."""
-    digest = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.concat(F.lit("s"), source), F.lit("-"))))
-    total = F.lit(0)
-    for i in range(1, 6):
-        total = total * 16 + (F.expr("0") + F.instr(F.lit(_HEX), F.substring(digest, i, 1)) - 1)
-    return total / F.lit(1048576.0)
+    return _digits(F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.concat(F.lit("s"), source), F.lit("-")))), 5) / F.lit(1048576.0)
 
 
 def _targets(sized: DataFrame, most: int, seed: int) -> DataFrame:
@@ -61,37 +69,62 @@ def _targets(sized: DataFrame, most: int, seed: int) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, *, most: int = 3, seed: int = 1, salts: int = 64) -> DataFrame:
-    """Rows (doc_id, source, size, source_size, target, copies, taken), one for each row of docs."""
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+def _placed(rows: DataFrame, most: int, seed: int, salts: int) -> DataFrame:
+    """For rows (doc_id, source, size, tie) one row each kind: how many there are (n), the ranks before them, and their source's plan."""
     bits = F.length(F.bin("size"))
     band = bits * 16 + F.expr("shiftright(size, greatest(length(bin(size)) - 3, 0))")
-    sized = store(sized.select("*", band.cast("int").alias("band"), F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(salts)).cast("int").alias("salt")))
+    salt = _digits(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce(F.concat(F.lit("|"), F.col("tie").cast("string")), F.lit("")))), 3) % salts
+    kinds = rows.groupBy("doc_id", "source", "size", "tie").agg(F.count("*").alias("n"))
+    kinds = store(kinds.select("*", band.cast("int").alias("band"), salt.cast("int").alias("salt")))
     group = ["source", "band", "salt"]
     before = Window.partitionBy("source").orderBy("band", "salt").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sized.groupBy(*group).agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    starts = kinds.groupBy(*group).agg(F.sum("n").alias("rows")).withColumn("before", F.coalesce(F.sum("rows").over(before), F.lit(0)))
+    sized = kinds.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("size"))
     targets = _targets(sized, most, seed)
     plan = starts.join(targets, starts.source.eqNullSafe(targets.of)).select(F.col("source").alias("s"), F.col("band").alias("b"), F.col("salt").alias("t"), "before", "source_size", "target", "expected", "offset")
-    within = Window.partitionBy(*group).orderBy("size", "doc_id")
-    placed = sized.withColumn("i", F.row_number().over(within))
+    within = Window.partitionBy(*group).orderBy("size", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    placed = kinds.withColumn("ahead", F.coalesce(F.sum("n").over(within), F.lit(0)))
     placed = placed.join(plan, placed.source.eqNullSafe(plan.s) & (placed.band == plan.b) & (placed.salt == plan.t))
-    upto = F.col("before") + F.col("i")
-    copies = F.floor(upto * F.col("expected") + F.col("offset")) - F.floor((upto - 1) * F.col("expected") + F.col("offset"))
-    return placed.withColumn("copies", copies.cast("long")).select(
+    return placed.withColumn("ahead", F.col("before") + F.col("ahead"))
+
+
+def _crossed(first: Column, last: Column) -> Column:
+    """How many integers the ranks from first to last cross."""
+    upto = lambda rank: F.floor(rank * F.col("expected") + F.col("offset"))
+    return (upto(last) - upto(first - 1)).cast("long")
+
+
+def _numbered(rows: DataFrame, times: Column, name: str, block: int = 4096) -> DataFrame:
+    """Each row ``times`` times with the numbers from 1 on; long runs are dealt out in blocks, so that no array is long."""
+    first = F.explode(F.sequence(F.lit(1).cast("long"), times, F.lit(block).cast("long")))
+    out = rows.where(times > 0).withColumn(name, first)
+    return out.withColumn(name, F.explode(F.sequence(F.col(name), F.least(F.col(name) + (block - 1), times))))
+
+
+def mix(docs: DataFrame, *, most: int = 3, seed: int = 1, salts: int = 64) -> DataFrame:
+    """Rows (doc_id, source, size, source_size, target, copies, taken), one for each row of docs."""
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.lit(None).cast("long").alias("tie"))
+    placed = _numbered(_placed(rows, most, seed, salts), F.col("n"), "i")
+    rank = F.col("ahead") + F.col("i")
+    return placed.withColumn("copies", _crossed(rank, rank)).select(
         "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
     )
 
 
-def mixed(docs: DataFrame, **settings: int) -> DataFrame:
-    """The mix itself: the rows of docs, each as many times as it is taken."""
-    copies = mix(docs, **settings).where("copies > 0").groupBy(F.col("doc_id").alias("id"), F.col("source").alias("of"), F.col("size").alias("words")).agg(
-        F.sum("copies").alias("copies"), F.count("*").alias("rows")
-    )
-    # Rows that share id, source and size share out their copies by rank: none of them is dropped or counted twice.
-    names = docs.columns
-    sized = docs.withColumn("__words", word_count(F.col("text")))
-    joined = sized.join(copies, sized.doc_id.eqNullSafe(copies.id) & sized.source.eqNullSafe(copies.of) & (sized["__words"] == copies.words))
-    rank = F.when(F.col("rows") > 1, F.row_number().over(Window.partitionBy("id", "of", "words").orderBy("text"))).otherwise(F.lit(1))
-    each = F.floor(F.col("copies") / F.col("rows")) + (F.col("__rank") <= F.col("copies") % F.col("rows")).cast("long")
-    out = joined.withColumn("__rank", rank).withColumn("__n", each).where("__n > 0")
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int")))).select(*names)
+def mixed(docs: DataFrame, *, most: int = 3, seed: int = 1, salts: int = 64) -> DataFrame:
+    """The mix itself: the rows of docs, each as many times as it is taken.
+
+    Rows meet their copies by id, source and a hash of the whole row. Rows that
+    are wholly alike are taken from one of them, as often as all together.
+    """
+    p = prefix_for(docs.columns)
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), row_hash(docs).alias("tie"))
+    copies = _placed(rows, most, seed, salts).withColumn("copies", _crossed(F.col("ahead") + 1, F.col("ahead") + F.col("n"))).where("copies > 0")
+    copies = store(copies.select(*(F.col(c).alias(p + c) for c in ("doc_id", "source", "tie", "n", "copies"))))
+    keys = {c: F.col(p + "own_" + c) for c in ("doc_id", "source", "tie")}
+    own = docs.select(*cols(docs), F.col("doc_id").alias(p + "own_doc_id"), F.col("source").alias(p + "own_source"), row_hash(docs).alias(p + "own_tie"))
+    meet = lambda some: own.join(some, (keys["tie"] == F.col(p + "tie")) & keys["doc_id"].eqNullSafe(F.col(p + "doc_id")) & keys["source"].eqNullSafe(F.col(p + "source")))
+    out = meet(copies.where(F.col(p + "n") == 1))
+    if not copies.where(F.col(p + "n") > 1).isEmpty():
+        out = out.union(meet(copies.where(F.col(p + "n") > 1)).dropDuplicates([p + "doc_id", p + "source", p + "tie"]))
+    return _numbered(out, F.col(p + "copies"), p + "i").select(*cols(docs))

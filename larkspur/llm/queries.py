@@ -133,10 +133,16 @@ SQL: dict[str, str] = {
                     + instr('0123456789abcdef', h[4]) - 1) * 16 + instr('0123456789abcdef', h[5]) - 1) / 1048576.0::DOUBLE AS off
             FROM t
         ),
+        m AS (SELECT *, md5(coalesce(CAST(doc_id AS VARCHAR), '-')) AS h FROM z),
+        y AS (
+            SELECT doc_id, source, size, (((instr('0123456789abcdef', h[1]) - 1) * 16 + instr('0123456789abcdef', h[2]) - 1) * 16
+                + instr('0123456789abcdef', h[3]) - 1) % 64 AS k
+            FROM m
+        ),
         p AS (
             SELECT *, row_number() OVER (PARTITION BY source ORDER BY length(bin(size)) * 16 + (size >> greatest(length(bin(size)) - 3, 0)),
-                coalesce(doc_id, 0) % 64, size, doc_id) AS i
-            FROM z
+                k, size, doc_id) AS i
+            FROM y
         )
         SELECT p.doc_id, p.size, u.source_size, CAST(u.target AS DOUBLE) AS target,
             CAST((floor(p.i * u.expected + u.off) - floor((p.i - 1) * u.expected + u.off)) * p.size AS BIGINT) AS taken

@@ -317,6 +317,19 @@ def fold(body: list, filters: dict[str, Callable]) -> list:
     return out
 
 
+class Slices:
+    """A long text that a filter gives piece by piece."""
+
+    def __init__(self, pieces: Callable[[], Iterator[str]]):
+        self.pieces = pieces
+
+    def __iter__(self) -> Iterator[str]:
+        return self.pieces()
+
+    def __str__(self) -> str:
+        return "".join(self)
+
+
 Scope = dict[str, Any]
 
 
@@ -344,8 +357,13 @@ def expression(e: Any, filters: dict[str, Callable]) -> Callable[[Scope], Any]:
         of = expression(e.of, filters)
         return (lambda scope: not of(scope)) if e.op == "not" else (lambda scope: -of(scope))
     if isinstance(e, Filter):
-        of, args, fn = expression(e.of, filters), [expression(a, filters) for a in e.args], filters[e.name]
-        return (lambda scope: fn(of(scope), *(a(scope) for a in args))) if args else (lambda scope: fn(of(scope)))
+        raw = _filtered(e, filters)
+
+        def filtered(scope: Scope) -> Any:
+            v = raw(scope)
+            return str(v) if isinstance(v, Slices) else v
+
+        return filtered
     left, right = expression(e.left, filters), expression(e.right, filters)
     if e.op == "and":
         return lambda scope: left(scope) and right(scope)
@@ -355,6 +373,11 @@ def expression(e: Any, filters: dict[str, Callable]) -> Callable[[Scope], Any]:
     return lambda scope: op(left(scope), right(scope))
 
 
+def _filtered(e: Filter, filters: dict[str, Callable]) -> Callable[[Scope], Any]:
+    of, args, fn = expression(e.of, filters), [expression(a, filters) for a in e.args], filters[e.name]
+    return (lambda scope: fn(of(scope), *(a(scope) for a in args))) if args else (lambda scope: fn(of(scope)))
+
+
 Pieces = Iterator[tuple[str, bool]]
 Renderer = Callable[[Scope, bool], Pieces]
 
@@ -380,10 +403,15 @@ def _statement(node: Any, filters: dict[str, Callable]) -> Renderer:
 
         return write
     if isinstance(node, Print):
-        value = expression(node.expr, filters)
+        value = _filtered(node.expr, filters) if isinstance(node.expr, Filter) else expression(node.expr, filters)
 
         def show(scope: Scope, learn: bool) -> Pieces:
-            yield _show(value(scope)), learn
+            v = value(scope)
+            if isinstance(v, Slices):
+                for piece in v:
+                    yield piece, learn
+            else:
+                yield _show(v), learn
 
         return show
     if isinstance(node, Set):

@@ -236,25 +236,85 @@ def test_mixing(spark, corpus):
     for s, v in by.items():
         assert v[0].target == pytest.approx(targets[s]) and v[0].source_size == sizes[s]
         assert abs(sum(r.copies for r in v) - len(v) * targets[s] / max(sizes[s], 1)) <= 1
-    copies = collections.Counter(r.doc_id for r in mixing.mixed(docs, salts=3).collect())
-    assert copies == collections.Counter({r.doc_id: r.copies for r in rows if r.copies})
+    taken = mixing.mixed(docs, salts=3).collect()
+    assert collections.Counter(r.source for r in taken) == collections.Counter({s: sum(r.copies for r in v) for s, v in by.items()})
+    assert max(collections.Counter(r.doc_id for r in taken).values()) <= 3
     assert mixing.mix(docs.limit(0)).count() == 0 and mixing.mixed(docs.limit(0)).count() == 0
 
 
+CLASHES = ["id", "of", "copies", "rows", "words", "__n", "__copy", "_i", "n", "i", "tie", "a.b", "ahead", "salt", "band", "score", "lang_pred", "likeness", "__letter", "letter", "key", "member", "hash", "_key", "Size"]
+
+
+def clashing(spark, rows, names=CLASHES):
+    """Documents with further columns of awkward names, each of which says which row it is of."""
+    schema = DOCS + "".join(f", `{c}` string" for c in names)
+    return spark.createDataFrame([(*r, *(f"{c}{n}" for c in names)) for n, r in enumerate(rows)], schema)
+
+
 def test_mixing_repeated_rows(spark):
     docs = spark.createDataFrame([(1, "a b", "en", "s", 3)] * 5 + [(2, "", "en", "t", 0)], DOCS)
     assert sum(r.copies for r in mixing.mix(docs).where("source = 's'").collect()) == mixing.mixed(docs).where("source = 's'").count() == 5
 
 
-def test_packing(spark, corpus):
+def test_mixing_numbered(spark):
+    rows = spark.createDataFrame([(1, 0), (2, 1), (3, 10), (4, 9)], "id long, n long")
+    assert collections.Counter(r.id for r in mixing._numbered(rows, F.col("n"), "i", 3).collect()) == {2: 1, 3: 10, 4: 9}
+
+
+def test_mixing_clashing_columns(spark, corpus):
+    """Columns of any name come through; rows of one id with unlike texts are told apart; repeats count."""
+    rows = [*corpus, (5, "another text of id five", "en", "src2", 0), (None, "a b c", "en", None, 0), (None, "x y", "en", None, 0)]
+    docs = clashing(spark, rows)
+    for some in (docs, docs.union(docs.where("doc_id < 3"))):
+        out = mixing.mixed(some, salts=3)
+        assert out.columns == docs.columns
+        taken = collections.Counter(tuple(r) for r in out.collect())
+        there = collections.Counter(tuple(r) for r in some.collect())
+        assert set(taken) <= set(there) and all(taken[r] <= 3 * there[r] for r in taken)
+        sizes = collections.Counter()
+        for r, n in taken.items():
+            sizes[r[3]] += n * len(words(r[1]))
+        for r in mixing.mix(some, salts=3).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect():
+            assert sizes[r.source] == pytest.approx(r.taken, rel=0.1, abs=90)
+    assert collections.Counter(map(tuple, mixing.mixed(docs).collect())) == collections.Counter(map(tuple, mixing.mixed(docs.repartition(5)).collect()))
+
+
+def test_language_clashing_columns(spark, corpus):
+    docs = clashing(spark, corpus)
+    out = language_id.identify(docs, F.lit(True), with_likeness=True, prefix="p_")
+    assert out.columns == [*docs.columns, "p_lang_pred", "p_score", "p_likeness"] and sorted(map(str, out.select(*(f"`{c}`" for c in docs.columns)).collect())) == sorted(map(str, docs.collect()))
+    plain = language_id.identify(docs, F.lit(True))
+    assert plain.columns == [*(c for c in docs.columns if c not in ("score", "lang_pred")), "lang_pred", "score"]
+
+
+def test_language_sample(spark):
+    """The sample is of distinct texts within its bounds; nulls and repeats use up no place."""
+    rows = [(1, f"text number {i % 7}", "en", "s", 0) for i in range(3000)] + [(i, None, "en", "s", 0) for i in range(50)] + [(i, f"ein text {i}", "de", "s", 0) for i in range(30)] + [(9, "x" * 5000, "fr", "s", 0), (9, "petit", "fr", "s", 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = collections.Counter(r["lang"] for r in language_id.labelled_sample(docs, F.lit(True), 20))
+    assert got == {"en": 7, "de": 20, "fr": 2}
+    assert [r["text"] for r in language_id.labelled_sample(docs, F.lit(True), 20, most_bytes=3000) if r["lang"] == "fr"] == ["petit"]
+    assert collections.Counter(r["lang"] for r in language_id.labelled_sample(docs, F.lit(True), 20, most=12)) == {"en": 4, "de": 4, "fr": 2}
+    assert sum(len(r["text"]) for r in language_id.labelled_sample(docs, F.lit(True), 20, most_bytes=300) if r["lang"] == "de") <= 100
+    assert language_id.labelled_sample(docs.limit(0), F.lit(True), 20) == []
+
+
+@pytest.mark.parametrize("specials", [True, False])
+def test_packing(spark, corpus, specials):
+    """Pieces hold the ids of the tokenizer itself, special tokens in texts, at cuts and in texts beyond a slice included."""
     import public_tokenizers
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     exact = Tokenizer.from_file(path)
-    exact.encode_special_tokens = True
-    docs = spark.createDataFrame([*corpus, (2000, "<|endoftext|> 's  x\n\n y　 z", "en", "s", 0), (2001, "é" * 5000, "en", "s", 0)], DOCS)
-    rows = packing.pack(docs, path, length=256).collect()
+    exact.encode_special_tokens = not specials
+    mark = "<|endoftext|>"
+    own = [
+        (2000, f"{mark} 's  x\n\n y　 z"), (2001, "é" * 5000), (2002, f"{mark} x"), (2003, mark), (2004, f"x {mark}{mark}  {mark[:-1]} {mark[1:]}"), (2005, "<|endoftext|"), (2006, ">a"),
+        (2007, f"the quick brown {mark}fox " * 60000), (2008, "ab" * 700000 + mark + " c"),
+    ]
+    docs = spark.createDataFrame([*corpus, *((i, t, "en", "s", 0) for i, t in own)], DOCS)
+    rows = packing.pack(docs, path, length=256, specials=specials).collect()
     sequences = collections.defaultdict(list)
     pieces = collections.defaultdict(dict)
     for r in rows:
@@ -268,13 +328,38 @@ def test_packing(spark, corpus):
             end += length
         filled.append(end)
     assert sorted(sequences) == list(range(len(sequences))) and sum(n < 256 for n in filled) <= 1 and max(filled) <= 256
-    for i, text in [(d[0], d[1]) for d in corpus] + [(2000, "<|endoftext|> 's  x\n\n y　 z"), (2001, "é" * 5000)]:
+    for i, text in [*((d[0], d[1]) for d in corpus), *own]:
         ids = np.array(exact.encode(text or "", add_special_tokens=False).ids + [1], "<u4")
         got = b"".join(bytes(pieces[i][s].ids) for s in sorted(pieces[i]))
         assert got == ids.tobytes() and all(r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(bytes(r.ids)) for r in pieces[i].values())
     assert packing.pack(docs.limit(0), path).count() == 0
 
 
+def test_packing_repeated_rows_and_columns(spark):
+    import public_tokenizers
+
+    docs = spark.createDataFrame([(1, "a b", 5, "x"), (1, "a b", 5, "x"), (None, "c", 6, None), (None, None, 7, "y")], "doc_id long, text string, uid int, key string")
+    rows = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")).collect()
+    assert sorted((str(r.doc_id), r.length) for r in rows) == [("1", 3), ("1", 3), ("None", 1), ("None", 2)]
+    assert sorted((r.offset, r.offset + r.length) for r in rows)[-1][1] == 9
+
+
+def test_tokens_without_byte_level_bpe():
+    """A file with other rules is used as it is."""
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from larkspur.llm.textkernel import buffer_of
+    from larkspur.llm.tokens import load
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["Hello  <|endoftext|> World's", "", "ÉTÉ 12"]
+    ids, counts = load(path).encode(*buffer_of(pa.array(texts)))
+    exact = [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in texts]
+    assert not load(path).plain and counts.tolist() == [len(e) for e in exact] and ids.tolist() == sum(exact, [])
+
+
 def test_hilbert_curve():
     cells = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
     keys = packing.hilbert_key(cells, 3)
@@ -355,6 +440,31 @@ def test_chat(spark):
     assert digests(format_conversations(df.limit(0))).count() == 0
 
 
+def test_chat_long_texts(spark, monkeypatch):
+    """Long texts are escaped and read back piece by piece, wherever pieces and parts end."""
+    from larkspur.llm import chat
+
+    monkeypatch.setattr(chat, "PIECE", 16)
+    rng = np.random.default_rng(11)
+    bits = ["#", "##", "###", "####" * 9, "\\", "\\\\", "</turn>", "</turn", "<", "</", ">", "\n", ": ", "é", "\U0001f600", "abcdefgh", "### user: ", "</turn>\n### assistant: "]
+    texts = ["".join(rng.choice(bits, int(rng.integers(1, 60)))) for _ in range(300)]
+    for t in texts:
+        assert "".join(chat.escape(t)) == chat._CONTROL.sub(chat._guard, t) and chat.unescape("".join(chat.escape(t))) == t
+    rows = [(i // 6, i % 6, ["user", "assistant", "a:b\\"][i % 3], t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    for part_chars in (1, 7, 1000):
+        out = {r.conv_id: r for r in digests(format_conversations(df, part_chars=part_chars)).collect()}
+        for conv in range(50):
+            turns = [(r, t) for c, _, r, t in rows if c == conv]
+            learned = "".join(t for r, t in turns if r == "assistant")
+            assert out[conv].n_turns == 6 and out[conv].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
+            assert out[conv].loss_chars == len(learned) and out[conv].loss_sha256 == hashlib.sha256(learned.encode()).hexdigest()
+    with pytest.raises(ValueError):
+        list(read_back(iter(["### user: x"])))
+    with pytest.raises(ValueError):
+        list(read_back(iter(["nothing of the kind"])))
+
+
 def test_ctw_keeps_every_context(spark):
     """Scores equal a tree of all contexts by brute force, one seen once among 100,000 positions too."""
     depth, lgamma = 6, np.vectorize(math.lgamma)

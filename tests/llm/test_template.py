@@ -6,8 +6,8 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from larkspur.llm.chat import _TURN, escape, escape_role, unescape
-from larkspur.llm.template import Text, TemplateError, compile_template, fold, parse
+from larkspur.llm.chat import escape, escape_role, read_back, unescape
+from larkspur.llm.template import Slices, Text, TemplateError, compile_template, fold, parse
 
 
 def render(source: str, **scope) -> str:
@@ -23,6 +23,12 @@ def test_language():
     assert pieces == [("u", False), ("x", True), ("v", False)]
 
 
+def test_long_values_come_in_pieces():
+    filters = {"long": lambda v: Slices(lambda: iter([v, v]))}
+    assert list(compile_template("{% generation %}{{ t | long }}{% endgeneration %}", filters)({"t": "x"})) == [("x", True), ("x", True)]
+    assert list(compile_template("{{ t | long | upper }}{{ (t | long) ~ 1 }}", filters)({"t": "x"})) == [("XX", False), ("xx1", False)]
+
+
 def test_folding():
     body = fold(parse("a{{ 'b' ~ 1 + 1 }}{% if 1 > 2 %}no{% else %}c{% endif %}{{ 'd' | upper }}"), {"upper": str.upper})
     assert len(body) == 1 and isinstance(body[0], Text) and body[0].text == "ab2cD"
@@ -41,8 +47,7 @@ def test_no_python_attributes():
 @given(st.text(), st.text())
 def test_escapes_are_reversible(role, text):
     line = f"### {escape_role(role)}: {escape(text)}</turn>\n"
-    m = _TURN.fullmatch(line)
-    assert m and unescape(m[1]) == role and unescape(m[2]) == text
+    assert list(read_back(iter([line]))) == list(read_back(iter(line))) == [(role, text)] and unescape(escape(text)) == text
 
 
 @given(st.text(alphabet="#\\<>/turn: \n"), st.text(alphabet="#\\<>/turn: \n"))
