@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import language_id, mixing, packing, secrets
-from larkspur.llm.common import remainder, store, table
+from larkspur.llm.common import cols, drop, prefix_for, remainder, row_hash, scratch, store, table
 from larkspur.llm.minhash_dedup import near_duplicates
 from larkspur.runtime import ship
 
@@ -25,9 +25,9 @@ LEAST_LIKENESS = 0.42
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop texts without a letter and those that are like no language known; a text too short to have an n-gram stays."""
-    names = docs.columns
-    found = language_id.identify(docs, remainder(F.col("doc_id"), 5) != 0, with_likeness=True)
-    return found.where((F.col("lang_pred") != "und") & (F.coalesce("likeness", F.lit(1.0)) >= LEAST_LIKENESS)).select(*names)
+    p = prefix_for(docs.columns)
+    found = language_id.identify(docs, remainder(F.col("doc_id"), 5) != 0, with_likeness=True, prefix=p)
+    return found.where((F.col(p + "lang_pred") != "und") & (F.coalesce(p + "likeness", F.lit(1.0)) >= LEAST_LIKENESS)).select(*cols(docs))
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,12 +36,12 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows are told apart by a stored key, so rows that share an id, or have
     none, are copies only if their texts are.
     """
-    names = docs.columns
-    rows = store(docs.withColumn("__key", F.monotonically_increasing_id()))
-    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id"), F.xxhash64(*names).alias("hash"), F.col("__key").alias("of"))
-    group = near_duplicates(rows.select(F.col("__key").alias("doc_id"), "text")).select(F.col("doc_id").alias("member"), "component_id")
-    kept = rows.select("__key", first.alias("first")).join(group, F.col("__key") == F.col("member")).groupBy("component_id").agg(F.min("first").alias("first"))
-    return rows.join(kept.select("first.of"), F.col("__key") == F.col("of")).select(*names)
+    p = prefix_for(docs.columns)
+    rows = store(docs.withColumn(p + "key", F.monotonically_increasing_id()))
+    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id"), row_hash(docs).alias("hash"), F.col(p + "key").alias("of"))
+    group = near_duplicates(rows.select(F.col(p + "key").alias("doc_id"), "text")).select(F.col("doc_id").alias(p + "member"), F.col("component_id").alias(p + "group"))
+    kept = rows.select(p + "key", first.alias(p + "first")).join(group, F.col(p + "key") == F.col(p + "member")).groupBy(p + "group").agg(F.min(p + "first").alias(p + "first"))
+    return rows.join(kept.select(F.col(p + "first")["of"].alias(p + "of")), F.col(p + "key") == F.col(p + "of")).select(*cols(docs))
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,11 +71,12 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table."""
+    """All stages over the documents table; what a stage stored goes once the next one's input is written."""
     ship(spark)
     docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = store(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        with scratch() as keep:
+            after = keep(store(stage(spark, docs, sf_dir)))
+        drop(docs)
+        docs = after
+    return STAGES[-1][1](spark, docs, sf_dir)
