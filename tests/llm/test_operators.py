@@ -76,7 +76,7 @@ def test_components(spark):
 
 
 def test_minhash(spark, corpus):
-    out = {r.doc_id: r for r in near_duplicates(spark.createDataFrame(corpus, DOCS), block=4).collect()}
+    out = {r.doc_id: r for r in near_duplicates(spark.createDataFrame(corpus, DOCS), block=2).collect()}
     sets = {d[0]: shingle_set(d[1]) for d in corpus}
     want = brute_components(list(sets), lambda a, b: bool(sets[a]) and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) > 0)
     assert {i: r.component_id for i, r in out.items()} == want
@@ -90,6 +90,53 @@ def test_minhash_edges(spark):
     assert near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_minhash_null_ids(spark):
+    """Many rows without an id: classes of their own meet one text each."""
+    rng = np.random.default_rng(8)
+    texts = [" ".join(rng.choice(WORDS, 30)) for _ in range(40)]
+    texts += [t + " end" for t in texts[:20]]
+    docs = spark.createDataFrame([(None, t) for t in texts] + [(7, texts[0]), (8, texts[21] + " end")], "doc_id long, text string")
+    out = near_duplicates(docs).collect()
+    assert len(out) == 62 and sum(r.component_id == 7 for r in out) == 3 and sum(r.component_id == 8 for r in out) == 2 and sum(r.component_id is None for r in out) == 57
+
+
+def test_minhash_large_families(spark):
+    """Families of many blocks whose sets don't all reach the first one."""
+    rng = np.random.default_rng(12)
+    base = [f"v{i}" for i in range(60)]
+    rows, chain = [], list(base)
+    for i in range(120):  # a chain that drifts: neighbours are alike, the ends aren't
+        chain[int(rng.integers(60))] = f"c{i}"
+        rows.append((i, " ".join(chain)))
+    rows += [(200 + i, " ".join(base[:40] + [f"x{i}_{k}" for k in range(6)])) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {i: shingle_set(t) for i, t in rows}
+    want = brute_components(list(sets), lambda a, b: 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]))
+    for block in (3, 1024):
+        assert {r.doc_id: r.component_id for r in near_duplicates(docs, block=block).collect()} == want
+
+
+def test_collision_counting():
+    """Merged postings link what whole signatures link."""
+    from larkspur.llm import minhash_dedup as m
+
+    rng = np.random.default_rng(13)
+    for n, changes in ((300, 40), (120, 30), (30, 36)):
+        base = rng.integers(0, 50, (12, 64)).astype(np.uint32)
+        sig = base[rng.integers(0, 12, n)]
+        for row in sig:
+            at = rng.permutation(64)[: rng.integers(0, changes)]
+            row[at] = rng.integers(0, 9, len(at))
+        pairs = (sig[:, None] == sig[None]).sum(2) >= 32
+        want = m._walk(n, lambda i, rest: pairs[i, rest])
+        same = lambda x: {frozenset(np.flatnonzero(x == v)) for v in np.unique(x)}
+        assert same(m._collided(sig, 32)) == same(want)
+        left, right = np.arange(n // 2), np.arange(n // 2, n)
+        across = pairs.copy()
+        across[: n // 2, : n // 2] = across[n // 2 :, n // 2 :] = False
+        assert same(m._collided_across(sig, left, right, 32)) == same(m._walk(n, lambda i, rest: across[i, rest]))
+
+
 def test_language(spark):
     rng = np.random.default_rng(2)
     vocabulary = {"en": ["the", "and", "thing", "with", "that"], "de": ["der", "und", "nicht", "schön", "über"], "fr": ["le", "être", "vous", "déjà", "très"]}
