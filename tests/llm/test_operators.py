@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.llm import ann, ctw, embedding_dedup, language_id, mixing, packing, quality, secrets
+from larkspur.llm import ann, ctw, embedding_dedup, language_id, mixing, packing, quality
 from larkspur.llm.chat import digests, format_conversations, read_back
 from larkspur.llm.common import components, remainder
 from larkspur.llm.minhash_dedup import near_duplicates
@@ -166,40 +166,6 @@ def test_quality(spark):
     assert quality.classify(docs.limit(0), labels, F.lit(True)).count() == 0
 
 
-def test_secrets(spark):
-    key, digest = hashlib.sha1(b"k").hexdigest(), hashlib.sha1(b"d").hexdigest()
-    rows = [(1, f'é token = "{key}" end', "en", "s", 99), (2, f"see commit {digest} for more", "en", "s", 99), (3, None, "en", "s", 0), (4, "", "en", "s", 0), (5, "https://example.com/library/section12/document.html", "en", "s", 0), (6, "word " * 50000 + f'api_key: "{key}"', "en", "s", 0)]
-    docs = spark.createDataFrame(rows, DOCS)
-    found = {r.doc_id: r for r in secrets.scan(docs).collect() if r.is_secret}
-    assert set(found) == {1, 6} and found[1].start == 11 and found[1].length == 40 and found[1].shown == key[:4] + "*" * 36
-    hidden = {r.doc_id: r for r in secrets.redact(docs).collect()}
-    assert hidden[1].text == 'é token = "[SECRET]" end' and hidden[1].n_chars == len(hidden[1].text) and hidden[2].text == rows[1][1] and hidden[3].text is None
-    sample = secrets.labelled_findings(1000, seed=77)
-    scores = secrets.trained().scores([s[:3] for s in sample])
-    assert np.mean((scores >= 0.5) == np.array([s[3] for s in sample])) > 0.97
-    own = spark.createDataFrame(secrets.labelled_findings(600), "value string, before string, after string, label int")
-    assert secrets.scan(docs, secrets.trained(own)).count() >= 3 and secrets.scan(docs.limit(0)).count() == 0
-
-
-def test_secrets_assigned(spark):
-    """The value alone of unquoted assignments, padding kept, and short values after a key word."""
-    key, coded = hashlib.sha1(b"k").hexdigest(), "Zm9vYmFyQmF6UXV4MTIzNDU2Nzg5MDEyMw=="
-    whole = [
-        f"API_KEY={key}", f"export SECRET_KEY={key}\nnext", f"see https://h.example/x?lang=en&access_token={key}&page=2", f"CLIENT_SECRET={coded}", f'secret: "{coded}" end',
-        'password = "Xk9vQ2pLm"', "DB_PASSWORD=Xk9vQ2pLm", "apiKey: 'q7Rt2ZpW4x'",
-    ]
-    values = [key, key, key, coded, coded, "Xk9vQ2pLm", "Xk9vQ2pLm", "q7Rt2ZpW4x"]
-    plain = ["password = \"section12\"", "the monkey Xk9vQ2pLm sat", "name = \"Xk9vQ2pLm\"", "a=b==c=1", "====", "=", f"commit={hashlib.sha1(b'd').hexdigest()}"]
-    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate([*whole, *plain])], DOCS)
-    found = collections.defaultdict(list)
-    for r in secrets.scan(docs).collect():
-        if r.is_secret:
-            found[r.doc_id].append((r.start, r.length))
-    assert found == {i: [(t.index(v), len(v))] for i, (t, v) in enumerate(zip(whole, values))}
-    hidden = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
-    assert hidden == {i: t for i, t in enumerate([*(t.replace(v, "[SECRET]") for t, v in zip(whole, values)), *plain])}
-
-
 def test_ctw(spark, corpus):
     docs = spark.createDataFrame(corpus, DOCS)
     train = remainder(F.col("doc_id"), 10) != 0
@@ -216,53 +182,6 @@ def test_ctw(spark, corpus):
     assert ctw.score(docs.limit(0), train).count() == 0
 
 
-def test_context_tree_against_definition():
-    """The frozen mixture by the recursive definition of context-tree weighting, on a small text."""
-    text, depth = b"\n\nabracadabra abracad", 2
-    raw = np.frombuffer(text, np.uint8)
-    at = np.arange(depth, len(raw))
-    keys = ctw.grams(raw, at, depth)
-    levels = [ctw._merge([keys & np.uint64((1 << 8 * (d + 1)) - 1)], [np.ones(len(keys), np.int64)]) for d in range(depth + 1)]
-    tree = ctw.ContextTree(levels, depth)
-    seen: dict = {}
-    for i in at:
-        for d in range(depth + 1):
-            bits = f"{raw[i]:08b}"
-            for k in range(8):
-                node = seen.setdefault((bytes(raw[i - d : i]), bits[:k]), [0, 0])
-                node[int(bits[k])] += 1
-
-    def block(n):
-        p, a, b = 1.0, 0, 0
-        for bit, count in enumerate(n):
-            for _ in range(count):
-                p *= ((a, b)[bit] + 0.5) / (a + b + 1)
-                a, b = a + (bit == 0), b + (bit == 1)
-        return p
-
-    def weighted(ctx, prefix):
-        own = block(seen[ctx, prefix])
-        if len(ctx) == depth:
-            return own
-        below = np.prod([weighted(c, p) for c, p in seen if p == prefix and len(c) == len(ctx) + 1 and c.endswith(ctx)])
-        return 0.5 * own + 0.5 * below
-
-    def predict(ctx_all, d, prefix, bit):
-        ctx = ctx_all[len(ctx_all) - d :]
-        n = seen.get((ctx, prefix), [0, 0])
-        kt = (n[bit] + 0.5) / (sum(n) + 1)
-        if d == depth:
-            return kt
-        w = 0.5 * block(n) / weighted(ctx, prefix) if (ctx, prefix) in seen else 0.5
-        return w * kt + (1 - w) * predict(ctx_all, d + 1, prefix, bit)
-
-    costs = tree.costs(raw, at)
-    for i, cost in list(zip(at, costs))[:8]:
-        ctx, bits = bytes(raw[i - depth : i]), f"{raw[i]:08b}"
-        assert cost == pytest.approx(sum(np.log10(predict(ctx, 0, bits[:k], int(bits[k]))) for k in range(8)), rel=1e-4)
-    assert np.allclose((10 ** tree.cost.astype(float)).sum(1), 1, atol=1e-4)
-
-
 def test_mixing(spark, corpus):
     docs = spark.createDataFrame([*corpus, (1000, "a b c", "en", None, 5), (None, "a b", "en", "src1", 3)], DOCS)
     rows = mixing.mix(docs, salts=3).collect()
