@@ -84,6 +84,10 @@ def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def _unpacked(data: bytes) -> list[pa.RecordBatch]:
+    return list(pa.ipc.open_stream(data))
+
+
 class DataFrame:
     def __init__(self, df: SparkDataFrame):
         self.df = df
@@ -193,14 +197,27 @@ class DataFrame:
         return self.to_arrow_table().to_batches()
 
     def collect_partitioned(self) -> list[list[pa.RecordBatch]]:
-        return [list(s) for s in self._partitions()]
+        """The batches of each partition, those without rows included."""
+        rdd = self._packed()
+        out: list[list[pa.RecordBatch]] = [[] for _ in range(rdd.getNumPartitions())]
+        for row in rdd.collect():
+            out[row.part] += _unpacked(row.data)
+        return out
+
+    def _packed(self):
+        """The partitions' batches as bytes, encoded by the tasks; one RDD, so shuffles below it run once."""
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyspark import TaskContext
+
+            for batch in batches:
+                if batch.num_rows:
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, batch.schema) as out:
+                        out.write_batch(batch)
+                    yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["part", "data"])
 
-    def _partitions(self) -> list[list[pa.RecordBatch]]:
-        part = "__partition"
-        table = self.df.withColumn(part, F.spark_partition_id()).toArrow()
-        at = table.column(part)
-        rest = table.drop_columns([part])
-        return [rest.filter(pa.compute.equal(at, p)).to_batches() for p in sorted(set(at.to_pylist()))]
+        return self.df.mapInArrow(pack, "part int, data binary").rdd
 
     def to_arrow_table(self) -> pa.Table:
         return self.df.toArrow()
@@ -222,28 +239,20 @@ class DataFrame:
     def count(self) -> int:
         return self.df.count()
 
-    def execute_stream(self, batch_rows: int = 8192) -> RecordBatchStream:
-        """Batches one partition after the other; the driver holds one partition's rows at a time."""
-        return RecordBatchStream(self._stream(batch_rows))
-
-    def _stream(self, batch_rows: int) -> Iterator[pa.RecordBatch]:
-        schema = self.schema()
-        rows = []
-        for row in self.df.toLocalIterator(prefetchPartitions=True):
-            rows.append(row.asDict(recursive=True))
-            if len(rows) == batch_rows:
-                yield pa.RecordBatch.from_pylist(rows, schema)
-                rows = []
-        if rows:
-            yield pa.RecordBatch.from_pylist(rows, schema)
+    def execute_stream(self, batch_rows: int | None = None) -> RecordBatchStream:
+        """Batches, of ``batch_rows`` at most, one partition after the other; the driver holds one partition's at a time."""
+        batches = (b for row in self._packed().toLocalIterator(prefetchPartitions=True) for b in _unpacked(row.data))
+        return RecordBatchStream(b.slice(i, batch_rows) for b in batches for i in range(0, b.num_rows, batch_rows)) if batch_rows else RecordBatchStream(batches)
 
     def execute_stream_partitioned(self) -> list[RecordBatchStream]:
-        n = self.df.rdd.getNumPartitions()
+        """A stream for each partition; each runs its own partition's task when it is read, on shuffles that are done once."""
+        rdd = self._packed()
 
         def one(i: int) -> Iterator[pa.RecordBatch]:
-            yield from self.df.where(F.spark_partition_id() == i).toArrow().to_batches()
+            for row in rdd.context.runJob(rdd, list, [i]):
+                yield from _unpacked(row.data)
 
-        return [RecordBatchStream(one(i)) for i in range(n)]
+        return [RecordBatchStream(one(i)) for i in range(rdd.getNumPartitions())]
 
     # sinks
     def write_parquet(self, path: str, compression: str = "uncompressed") -> None:

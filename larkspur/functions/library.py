@@ -38,10 +38,28 @@ def trunc(x: Column, places: Column | int = 0) -> Column:
     return F.signum(x) * F.floor(F.abs(x) * unit) / unit
 
 
-def date_bin(seconds: int, ts: Column, origin_epoch: int = 0) -> Column:
-    """The start of the bin of ``seconds`` that holds ts, without time zone; null stays null."""
-    epoch = F.unix_timestamp(ts.cast("timestamp"))
-    return F.timestamp_seconds(F.floor((epoch - origin_epoch) / seconds) * seconds + origin_epoch).cast("timestamp_ntz")
+def date_bin(length: int | str, ts: Column, origin: int | str = 0) -> Column:
+    """The start of the bin that holds ts, without time zone; null stays null.
+
+    ``length`` is in seconds, or an interval such as ``15 minutes`` or ``1 month``;
+    ``origin`` in seconds since 1970, or a time without zone as text.
+    """
+    from larkspur.sqlshim import interval_parts
+
+    months, micros = (0, length * 1_000_000) if isinstance(length, int) else interval_parts(length)
+    if months and micros or months <= 0 and micros <= 0:
+        raise ValueError("bins are of whole months or of a fixed length")
+    ts = ts.cast("timestamp_ntz")
+    zero, day = F.expr("timestamp_ntz'1970-01-01'"), F.lit(86_400_000_000)
+    begin = zero + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(origin)) if isinstance(origin, int) else F.lit(origin).cast("timestamp_ntz")
+    if months:
+        count = (F.year(ts) - F.year(begin)) * 12 + F.month(ts) - F.month(begin)
+        count = count - F.pmod(count, F.lit(months))
+        start = begin + F.make_ym_interval(F.lit(0), count)
+        return F.when(start > ts, begin + F.make_ym_interval(F.lit(0), count - months)).otherwise(start)
+    epoch = lambda t: (F.unix_date(t.cast("date")).cast("long") * 86400 + F.hour(t) * 3600 + F.minute(t) * 60) * 1_000_000 + (F.extract(F.lit("SECOND"), t) * 1_000_000).cast("long")
+    at = epoch(ts) - F.pmod(epoch(ts) - epoch(begin), F.lit(micros))
+    return zero + F.make_dt_interval(((at - F.pmod(at, day)) / day).cast("int"), F.lit(0), F.lit(0), F.pmod(at, day).cast("decimal(18, 0)") / 1_000_000)
 
 
 def concat(*args: Column) -> Column:

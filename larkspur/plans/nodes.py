@@ -7,6 +7,7 @@ A plan comes from the builder (``table_scan(…).filter(…)``) or from Catalyst
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspur.expr import Alias, Expr
-from larkspur.types import spark_schema
+from larkspur.types import arrow_schema, spark_schema
 
 
 @dataclass(eq=False, repr=False)
@@ -600,6 +601,9 @@ def from_catalyst(plan: Any) -> Node:
     if kind in ("Distinct", "Deduplicate"):
         return Distinct(below[0])
     if kind == "SubqueryAlias":
+        if plan.child().nodeName() == "View":  # a registered table
+            schema = arrow_schema(T.StructType.fromJson(json.loads(plan.child().schema().json())))
+            return SubqueryAlias(plan.alias(), TableScan(plan.child().desc().identifier().table(), schema))
         return SubqueryAlias(plan.alias(), below[0])
     if kind == "Union":
         return Union(below)

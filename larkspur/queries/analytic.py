@@ -44,10 +44,15 @@ sql_query(
     "a9_regression",
     "SELECT c_mktsegment, round(regr_slope(c_acctbal, c_custkey), 8) AS slope, round(regr_intercept(c_acctbal, c_custkey), 4) AS intercept, round(regr_r2(c_acctbal, c_custkey), 8) AS r2, CAST(regr_count(c_acctbal, c_custkey) AS BIGINT) AS n, round(regr_avgx(c_acctbal, c_custkey), 4) AS ax, round(regr_avgy(c_acctbal, c_custkey), 4) AS ay, round(regr_sxx(c_acctbal, c_custkey), 0) AS sxx, round(regr_syy(c_acctbal, c_custkey), 0) AS syy, round(regr_sxy(c_acctbal, c_custkey), 0) AS sxy FROM customer GROUP BY c_mktsegment",
 )
-sql_query("a10_approx_distinct", "SELECT approx_distinct(o_custkey) AS n, approx_median(o_totalprice) AS med, approx_percentile_cont(o_totalprice, 0.9) AS p90 FROM orders", check=False)
+sql_query("a5_array_agg_order", "SELECT n_regionkey, array_to_string(array_agg(n_name ORDER BY n_name DESC), ',') AS names, string_agg(n_name, '|' ORDER BY n_nationkey DESC) FILTER (WHERE n_nationkey > 4) AS some FROM nation GROUP BY n_regionkey")
+sql_query(
+    "a10_approx_distinct",
+    "SELECT count(DISTINCT o_custkey) AS n, abs(approx_distinct(o_custkey) / count(DISTINCT o_custkey) - 1) < 0.1 AS near, abs(approx_median(o_totalprice) / median(o_totalprice) - 1) < 0.01 AS near_median, abs(approx_percentile_cont(o_totalprice, 0.9) / percentile_cont(0.9) WITHIN GROUP (ORDER BY o_totalprice) - 1) < 0.01 AS near_p90 FROM orders",
+    "SELECT count(DISTINCT o_custkey) AS n, true AS near, true AS near_median, true AS near_p90 FROM orders",
+)
 
 
-@query("a10_weighted_percentile")
+@query("a10_weighted_percentile", "SELECT p_brand, quantile_cont(p_retailprice, 0.5) AS p50 FROM (SELECT p_brand, p_retailprice, unnest(range(p_size)) AS i FROM part) GROUP BY p_brand")
 def _(ctx):
     from larkspur.functions import call
 
@@ -68,6 +73,10 @@ def _(ctx):
     return groups_frame(ctx.table("orders").df, lambda: F.sum("o_orderkey"), ["o_custkey"], [F.col("o_orderpriority").asc_nulls_last()], 1, 0, "s").select("o_orderkey", "s")
 
 
+sql_query(
+    "n5_groups_sql",
+    "SELECT o_orderkey, CAST(sum(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderpriority GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS BIGINT) AS s FROM orders WHERE o_orderkey % 3 > 0",
+)
 sql_query(
     "n7_ranking",
     "SELECT o_orderkey, CAST(row_number() OVER w AS BIGINT) AS rn, CAST(rank() OVER p AS BIGINT) AS rk, CAST(dense_rank() OVER p AS BIGINT) AS dr, round(percent_rank() OVER p, 9) AS pr, round(cume_dist() OVER p, 9) AS cd, CAST(ntile(3) OVER w AS BIGINT) AS nt FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey), p AS (PARTITION BY o_custkey ORDER BY o_orderpriority)",

@@ -249,3 +249,10 @@ def _(ctx):
 
     ctx.register_table_provider("nation_provider", Rows(ctx.table("nation").to_arrow_table()))
     return ctx.sql("SELECT n_name FROM nation_provider WHERE n_regionkey IN (1, 3) AND n_nationkey >= 4")
+
+
+sql_query("p9_distinct_on_limit", "SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey FROM orders ORDER BY o_custkey DESC, o_orderkey DESC LIMIT 20")
+sql_query(
+    "p9_distinct_on_subquery",
+    "WITH latest AS (SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey, o_orderpriority AS p FROM orders ORDER BY o_custkey, o_orderkey DESC) SELECT p, count(*) AS n, max(d.k) AS k FROM latest JOIN (SELECT DISTINCT ON (c_nationkey) c_custkey AS k FROM customer ORDER BY c_nationkey, c_custkey) AS d ON d.k >= o_custkey GROUP BY p",
+)

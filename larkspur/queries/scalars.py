@@ -170,6 +170,10 @@ sql_query(
     "SELECT o_orderkey, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS m, date_part('year', o_orderdate) AS y, extract(month FROM o_orderdate) AS mo, extract(dow FROM o_orderdate) AS dow, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS d, CAST(make_date(2020, 2, 29) AS VARCHAR) AS md, strftime(o_orderdate, '%Y/%m/%d') AS f FROM orders",
 )
 sql_query("h6_date_bin", "SELECT event_id, date_bin(INTERVAL '15 minutes', ts) AS b FROM events", "SELECT event_id, time_bucket(INTERVAL '15 minutes', ts) AS b FROM events")
+sql_query(
+    "h6_date_bin_months", "SELECT o_orderkey, date_bin(INTERVAL '3 months', o_orderdate) AS q, date_bin(INTERVAL '1 week', o_orderdate, timestamp_ntz'2024-01-01') AS w, date_bin(INTERVAL '2 hours 30 minutes', o_orderdate) AS h FROM orders",
+    "SELECT o_orderkey, time_bucket(INTERVAL '3 months', o_orderdate) AS q, time_bucket(INTERVAL '1 week', o_orderdate, TIMESTAMP '2024-01-01') AS w, time_bucket(INTERVAL '150 minutes', o_orderdate, TIMESTAMP '1970-01-01') AS h FROM orders",
+)
 sql_query(
     "h6_epochs", "SELECT o_orderkey, to_unixtime(o_orderdate) AS e, from_unixtime(1000000000 + o_orderkey) AS t, to_timestamp_seconds(o_orderkey) AS s FROM orders",
     "SELECT o_orderkey, CAST(epoch(o_orderdate) AS BIGINT) AS e, make_timestamp((1000000000 + o_orderkey) * 1000000) AS t, make_timestamp(o_orderkey * 1000000) AS s FROM orders",
@@ -217,3 +221,6 @@ sql_query("h9_json", "SELECT event_id, CAST(get_json_object(props, '$.k') AS BIG
 sql_query("h10_meta", "SELECT n_nationkey, arrow_cast(n_nationkey, 'Int64') AS c, arrow_typeof(n_name) AS t FROM nation", "SELECT n_nationkey, CAST(n_nationkey AS BIGINT) AS c, 'string' AS t FROM nation")
 sql_query("h11_unnest", "SELECT n_nationkey, unnest(array(n_nationkey, n_regionkey)) AS v FROM nation", "SELECT n_nationkey, unnest([n_nationkey, n_regionkey]) AS v FROM nation")
 sql_query("h12_table_functions", "SELECT id * 2 AS x FROM range(5, 20)", "SELECT range * 2 AS x FROM range(5, 20)")
+
+
+sql_query("h7_concat_arrays", "SELECT n_nationkey, array_to_string(concat(array(n_name), array(concat('r', n_regionkey), 'x')), ',') AS t FROM nation", "SELECT n_nationkey, array_to_string(list_concat([n_name], [concat('r', n_regionkey), 'x']), ',') AS t FROM nation")

@@ -54,3 +54,34 @@ def _(ctx):
     ctx.table("nation").select_columns("n_nationkey", "n_name").write_csv(path)
     ctx.sql(f"CREATE EXTERNAL TABLE nation_external (n_nationkey INT, n_name STRING) STORED AS CSV WITH HEADER ROW LOCATION '{path}'")
     return ctx.table("nation_external")
+
+
+@query("s2_csv_quoted_lines", "SELECT CAST(n_nationkey AS INT) AS n_nationkey, n_name || chr(10) || n_regionkey AS t FROM nation")
+def _(ctx):
+    path = _folder(ctx)
+    ctx.sql("SELECT n_nationkey, n_name || chr(10) || n_regionkey AS t FROM nation").write_csv(path)
+    ctx.register_csv("nation_lines", path)
+    return ctx.table("nation_lines")
+
+
+@query("s3_csv_compressed", "SELECT CAST(n_nationkey AS INT) AS n_nationkey, n_name FROM nation")
+def _(ctx):
+    path = _folder(ctx)
+    ctx.table("nation").select_columns("n_nationkey", "n_name").df.write.option("header", True).option("compression", "gzip").csv(path)
+    ctx.register_csv("nation_packed", path, file_compression_type="gzip")
+    return ctx.table("nation_packed")
+
+
+@query("w5_collect_partitioned", "SELECT r_regionkey, r_name FROM region")
+def _(ctx):
+    batches = [b for p in ctx.table("region").repartition(3).collect_partitioned() for b in p]
+    ctx.register_record_batches("region_partitions", [batches])
+    return ctx.table("region_partitions")
+
+
+@query("w9_streams", "SELECT r_regionkey, r_name FROM region UNION ALL SELECT r_regionkey, r_name FROM region")
+def _(ctx):
+    frame = ctx.table("region").repartition(2)
+    batches = [b.to_pyarrow() for b in frame.execute_stream()] + [b.to_pyarrow() for s in frame.execute_stream_partitioned() for b in s]
+    ctx.register_record_batches("region_streams", [batches])
+    return ctx.table("region_streams")

@@ -8,8 +8,8 @@ from typing import Any
 
 import pyarrow as pa
 import pyarrow.dataset as pads
-from pyspark.sql import SparkSession
-
+from pyspark.sql import Observation, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspur.expr import Expr
@@ -20,7 +20,7 @@ from larkspur.plans import OptimizationRule, optimize_plan, parse_sql
 from larkspur.runtime import ship
 from larkspur.sources import files
 from larkspur.sources.python_sources import read_python
-from larkspur.sqlshim import CALLS, rewrite, tokens, unquoted
+from larkspur.sqlshim import CALLS, analysed, tokens, unquoted
 from larkspur.types import arrow_schema
 from larkspur.userfunctions import AggregateUDF, ScalarUDF, WindowUDF
 
@@ -190,7 +190,7 @@ class SessionContext:
         elif args:
             args = {k if k.startswith("p") and k[1:].isdigit() else f"p{k.lstrip('$')}": v for k, v in args.items()}
         window = self._window_call(query)
-        df = window if window is not None else self.spark.sql(rewrite(query), args) if args else self.spark.sql(rewrite(query))
+        df = window if window is not None else analysed(self.spark, query, args)
         return self._ruled(df)
 
     def _ruled(self, df) -> DataFrame:
@@ -211,10 +211,10 @@ class SessionContext:
             source, target = m[1], unquoted(m[2])
             df = self.sql(source[1:-1]) if source.startswith("(") else self.table(source)
             kind = (m[3] or target.rpartition(".")[2]).lower()
-            writer = df.df.write.options(**_pairs(m[4]))
-            n = df.count()
+            counted = Observation()
+            writer = df.df.observe(counted, F.count(F.lit(1)).alias("count")).write.options(**_pairs(m[4]))
             getattr(writer.option("header", True) if kind == "csv" else writer, kind)(target)
-            return DataFrame(self.spark.createDataFrame([(n,)], "count bigint"))
+            return DataFrame(self.spark.createDataFrame([(counted.get["count"],)], "count bigint"))
         if re.match(r"\s*create\s+external\s+table", query, re.I):
             m = re.fullmatch(
                 r"\s*create\s+external\s+table\s+(?:if\s+not\s+exists\s+)?([\w.]+)\s*(\(.*?\))?\s*stored\s+as\s+(\w+)(\s+with\s+header\s+row)?(?:\s+partitioned\s+by\s*\(([^)]*)\))?\s*location\s+('(?:[^']|'')*')(?:\s+options\s*\((.*)\))?", query, re.I | re.S
@@ -254,7 +254,7 @@ class SessionContext:
         if not m:
             raise ValueError("window functions of one's own stand in SELECT … FROM … of one block")
         items, source, tail = m[1], m[2], m[3] or ""
-        df = self.spark.sql(rewrite(f"SELECT * FROM {source}"))
+        df = analysed(self.spark, f"SELECT * FROM {source}")
         names = "|".join(map(re.escape, self._window_udfs))
         part = r"(?:\s*partition\s+by\s+(?P<parts>.*?))?(?:\s*order\s+by\s+(?P<orders>.*?))?(?:\s*(?P<frame>(?:rows|range|groups)\s+between\s+.*?))?\s*"
         call = re.compile(rf"\b(?P<fn>{names})\s*\((?P<args>[^()]*)\)\s+over\s*\({part}\)", re.I | re.S)
@@ -271,7 +271,7 @@ class SessionContext:
         visible = [c for c in df.columns if not c.startswith("__w")]
         items = re.sub(r"(^|,)\s*\*", lambda s: f"{s[1]} {', '.join(f'`{c}`' for c in visible)}", items)
         df.createOrReplaceTempView(view)
-        return self.spark.sql(rewrite(f"SELECT {items} FROM {view} {tail}"))
+        return analysed(self.spark, f"SELECT {items} FROM {view} {tail}")
 
     def _information_schema(self) -> None:
         tables, columns = [], []
@@ -324,9 +324,9 @@ class SessionContext:
     def register_parquet(self, name: str, path: str, table_partition_cols: list[tuple[str, str]] | None = None, parquet_pruning: bool = True, file_extension: str = ".parquet", skip_metadata: bool = True, schema: pa.Schema | None = None, storage_options: dict[str, str] | None = None) -> None:
         files.read_parquet(self.spark, str(path), partition_cols=table_partition_cols, pruning=parquet_pruning, extension=file_extension, schema=schema, storage_options=storage_options).createOrReplaceTempView(name)
 
-    def register_csv(self, name: str, path: str, schema: pa.Schema | None = None, has_header: bool = True, delimiter: str = ",", schema_infer_max_records: int = 1000, file_extension: str = ".csv", file_compression_type: str | None = None, storage_options: dict[str, str] | None = None) -> None:
+    def register_csv(self, name: str, path: str, schema: pa.Schema | None = None, has_header: bool = True, delimiter: str = ",", schema_infer_max_records: int = 1000, file_extension: str = ".csv", file_compression_type: str | None = None, storage_options: dict[str, str] | None = None, newlines_in_values: bool | None = None) -> None:
         files.read_csv(
-            self.spark, str(path), schema=schema, has_header=has_header, delimiter=delimiter, infer_rows=schema_infer_max_records, extension=file_extension, compression=file_compression_type, storage_options=storage_options
+            self.spark, str(path), schema=schema, has_header=has_header, delimiter=delimiter, infer_rows=schema_infer_max_records, extension=file_extension, compression=file_compression_type, storage_options=storage_options, newlines_in_values=newlines_in_values,
         ).createOrReplaceTempView(name)
 
     def register_json(self, name: str, path: str, schema: pa.Schema | None = None, storage_options: dict[str, str] | None = None) -> None:

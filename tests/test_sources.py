@@ -35,6 +35,91 @@ def test_csv(ctx, tmp_path):
             ctx.register_csv("x", str(tmp_path / "iris.csv"), **bad)
 
 
+def test_csv_errors_instead_of_nulls(ctx, tmp_path):
+    """Values beyond the lines that types come from, quoted line ends, and ragged lines."""
+    (tmp_path / "late.csv").write_text("a,b\n" + "1,x\n" * 1500 + "oops,y\n")
+    ctx.register_csv("late", str(tmp_path / "late.csv"))
+    with pytest.raises(Exception, match="MALFORMED|oops|Malformed"):
+        ctx.table("late").to_pylist()
+    ctx.register_csv("late_text", str(tmp_path / "late.csv"), schema=pa.schema([("a", pa.string()), ("b", pa.string())]))
+    assert ctx.table("late_text").to_pylist()[-1] == {"a": "oops", "b": "y"} and ctx.table("late_text").count() == 1501
+    (tmp_path / "quoted.csv").write_text('a,b\n1,"two\nlines, quoted"\n2,plain\n')
+    ctx.register_csv("quoted", str(tmp_path / "quoted.csv"))
+    assert ctx.table("quoted").to_pylist() == [{"a": 1, "b": "two\nlines, quoted"}, {"a": 2, "b": "plain"}]
+    (tmp_path / "later.csv").write_text("a,b\n" + "1,x\n" * 1200 + '2,"p\nq"\n')
+    ctx.register_csv("later", str(tmp_path / "later.csv"), newlines_in_values=True)
+    assert ctx.table("later").to_pylist()[-1] == {"a": 2, "b": "p\nq"}
+    (tmp_path / "ragged.csv").write_text("a,b\n1,2\n3\n")
+    ctx.register_csv("ragged", str(tmp_path / "ragged.csv"), schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+    with pytest.raises(Exception, match="MALFORMED|Malformed"):
+        ctx.table("ragged").to_pylist()
+
+
+def test_xz_lines(ctx, tmp_path):
+    """Only line ends end a line; streams one after the other, and folders, by any path."""
+    lines = ["a,b", "1,x\u2028y", "2,p\x0bq", "3,\x1c"]
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "one.csv.xz").write_bytes(lzma.compress("\r\n".join(lines[:2]).encode() + b"\r\n") + lzma.compress("\n".join(lines[2:]).encode()))
+    (tmp_path / "d" / "other.txt").write_text("no")
+    ctx.register_csv("xz", f"file://{tmp_path}/d", file_compression_type="xz")
+    assert ctx.table("xz").to_pylist() == [{"a": 1, "b": "x\u2028y"}, {"a": 2, "b": "p\x0bq"}, {"a": 3, "b": "\x1c"}]
+
+
+def test_extensions_by_any_path(ctx, tmp_path):
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "a.csv").write_text("x\n1\n")
+    (tmp_path / "d" / "b.tsv").write_text("x\n2\n")
+    for folder in (f"{tmp_path}/d", f"file://{tmp_path}/d"):
+        ctx.register_csv("by_extension", folder, file_extension=".tsv")
+        assert ctx.table("by_extension").to_pylist() == [{"x": 2}]
+    ctx.sql("SELECT id FROM range(3)").write_parquet(f"{tmp_path}/p")
+    ctx.register_parquet("unpruned", f"file://{tmp_path}/p", parquet_pruning=False)
+    assert ctx.sql("SELECT id FROM unpruned WHERE id = 1").count() == 1
+    with pytest.raises(Exception):
+        ctx.register_parquet("none", f"file://{tmp_path}/p", file_extension=".none")
+
+
+def test_http(ctx, tmp_path):
+    import functools
+    import http.server
+    import threading
+
+    (tmp_path / "iris.csv").write_text(IRIS)
+    ctx.sql("SELECT id FROM range(3)").df.coalesce(1).write.parquet(f"{tmp_path}/p")
+    name = next(f.name for f in (tmp_path / "p").iterdir() if f.name.endswith(".parquet"))
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), functools.partial(http.server.SimpleHTTPRequestHandler, directory=str(tmp_path)))
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        base = f"http://127.0.0.1:{server.server_port}"
+        ctx.register_csv("web", f"{base}/iris.csv?v=1")
+        ctx.register_parquet("web_parquet", f"{base}/p/{name}")
+        assert ctx.table("web").count() == 3 and ctx.table("web_parquet").count() == 3
+        with pytest.raises(ValueError):
+            ctx.register_json("x", f"{base}/x.json", storage_options={"aws.region": "r"})
+    finally:
+        server.shutdown()
+
+
+def test_credentials_stay_with_their_reader(ctx):
+    from larkspur.sources.files import _located
+
+    target, options = _located(ctx.spark, "s3://b/k", {"aws.access_key_id": "i", "aws.secret_access_key": "s"})
+    assert target == "s3a://b/k" and options["fs.s3a.access.key"] == "i" and options["fs.s3a.impl.disable.cache"] == "true"
+    assert ctx.spark._jsc.hadoopConfiguration().get("fs.s3a.access.key") is None
+
+
+def test_streams_by_partition(ctx):
+    """Each partition runs once, empty ones have a place, nested values keep their types."""
+    frame = ctx.sql("SELECT id, struct(id AS x, array(CAST(id AS STRING)) AS y) AS s FROM range(6)").repartition(3)
+    frame = type(frame)(frame.df.where("id < 2").repartition(4, "id"))
+    whole = frame.collect_partitioned()
+    assert len(whole) == 4 and sum(b.num_rows for p in whole for b in p) == 2 and any(not p for p in whole)
+    streams = frame.execute_stream_partitioned()
+    rows = [r for s in streams for b in s for r in b.to_pyarrow().to_pylist()]
+    assert len(streams) == 4 and sorted(r["s"]["y"][0] for r in rows) == ["0", "1"]
+    assert sorted(r["id"] for b in frame.execute_stream(batch_rows=1) for r in b.to_pyarrow().to_pylist()) == [0, 1]
+
+
 def test_parquet_partitions(ctx, tmp_path):
     ctx.sql("SELECT id, CAST(id % 2 AS STRING) AS p FROM range(4)").df.write.partitionBy("p").parquet(str(tmp_path / "d"))
     ctx.register_parquet("d", str(tmp_path / "d"), table_partition_cols=[("p", "string")], schema=pa.schema([("id", pa.int64())]))
