@@ -98,7 +98,7 @@ class DataFrame:
             return self.select_columns(key)
         if isinstance(key, tuple | list) and all(isinstance(k, str) for k in key):
             return self.select_columns(*key)
-        raise TypeError("DataFrame can only be indexed by string index or indices")
+        raise TypeError("a frame is indexed by a column name, or by several")
 
     def select_columns(self, *names: str) -> "DataFrame":
         return DataFrame(self.df.select(*(F.col(_quoted(n)) for n in names)))
@@ -118,7 +118,7 @@ class DataFrame:
     def join(self, right: "DataFrame", join_keys: tuple[list[str], list[str]], how: str) -> "DataFrame":
         """An equi-join; both sides' key columns stay."""
         if how not in _JOINS:
-            raise ValueError(f"The join type {how} does not exist or is not implemented")
+            raise ValueError(f"no such join type: {how}")
         left_keys, right_keys = join_keys
         if len(left_keys) != len(right_keys) or not left_keys:
             raise ValueError("join needs as many left keys as right keys")

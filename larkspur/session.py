@@ -138,7 +138,7 @@ class Database:
 
     def table(self, name: str) -> Table:
         if not self._context.table_exist(name):
-            raise KeyError(f"Table not found: {name}")
+            raise KeyError(f"no such table: {name}")
         return Table(self._context, name)
 
 
@@ -151,7 +151,7 @@ class Catalog:
 
     def database(self, name: str = SCHEMA) -> Database:
         if name not in self.names():
-            raise KeyError(f"Database with name {name} doesn't exist.")
+            raise KeyError(f"no such database: {name}")
         return Database(self._context)
 
 
@@ -311,7 +311,7 @@ class SessionContext:
 
     def catalog(self, name: str = CATALOG) -> Catalog:
         if name != self.config.default_catalog:
-            raise KeyError(f"Catalog with name {name} doesn't exist.")
+            raise KeyError(f"no such catalog: {name}")
         return Catalog(self)
 
     def register_table(self, name: str, table: Table) -> None:
@@ -355,7 +355,7 @@ class SessionContext:
     def register_dataset(self, name: str, dataset: pads.Dataset) -> None:
         """A dataset of plain Parquet files is read by Spark itself, one in memory is handed over, any other has a Python source."""
         if not isinstance(dataset, pads.Dataset):
-            raise ValueError("dataset argument must be a pyarrow.dataset.Dataset object")
+            raise ValueError(f"not a pyarrow dataset: {dataset!r}")
         kind = getattr(getattr(dataset, "format", None), "default_extname", None)
         if isinstance(dataset, pads.FileSystemDataset) and kind == "parquet" and dataset.files and set(dataset.schema.names) == set(self.spark.read.parquet(dataset.files[0]).columns):
             df = self.spark.read.parquet(*dataset.files).select(*dataset.schema.names)

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import bisect
 import copy
+import functools
 from abc import ABCMeta, abstractmethod
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame as SparkDataFrame
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +26,7 @@ VOLATILITIES = ("immutable", "stable", "volatile")
 
 def _volatility(name: str) -> str:
     if str(name).lower() not in VOLATILITIES:
-        raise ValueError(f"Unsupported volatility type: `{name}`, supported values are: immutable, stable and volatile.")
+        raise ValueError(f"volatility is immutable, stable or volatile, not {name!r}")
     return str(name).lower()
 
 
@@ -157,28 +161,38 @@ class AggregateUDF:
 
         ``merge`` gets the first state column of all partial states as one array.
         """
-        make, kinds, kind = self.accumulator, self.state_type, self.return_type
+        make, kinds, kind, most = self.accumulator, self.state_type, self.return_type, 100_000
         fields = [df.schema[k] for k in keys]
         schema = T.StructType([*fields, *(T.StructField(f"__s{i}", to_spark(t)) for i, t in enumerate(kinds))])
 
         def partial(batches):
             held: dict[tuple, Accumulator] = {}
             kept: pa.Schema | None = None
+
+            def states() -> pa.RecordBatch:
+                rows = [[s.as_py() if isinstance(s, pa.Scalar) else s for s in acc.state()] for acc in held.values()]
+                columns = [pa.array(list(c), kept.field(n).type) for n, c in zip(keys, zip(*held))]
+                columns += [pa.array([r[i] for r in rows], _carrier(t)) for i, t in enumerate(kinds)]
+                return pa.RecordBatch.from_arrays(columns, [*keys, *(f"__s{i}" for i in range(len(kinds)))])
+
             for batch in batches:
                 table = pa.Table.from_batches([batch])
                 kept = kept or table.select(keys).schema
-                coded: dict[tuple, list[int]] = {}
-                for i, k in enumerate(zip(*(table.column(k).to_pylist() for k in keys)) if keys else [()] * table.num_rows):
-                    coded.setdefault(k, []).append(i)
-                for k, at in coded.items():
+                if keys:
+                    table = table.append_column("__i", pa.array(np.arange(table.num_rows)))
+                    groups = table.group_by(keys).aggregate([("__i", "list")])
+                    coded = zip(zip(*(groups.column(k).to_pylist() for k in keys)), groups.column("__i_list").combine_chunks())
+                else:
+                    coded = [((), None)] if table.num_rows else []
+                for k, at in coded:
                     acc = held.setdefault(k, make())
-                    some = table.take(pa.array(at))
+                    some = table if at is None else table.take(at.values)
                     acc.update(*(some.column(a).combine_chunks() for a in args))
+                if len(held) >= most:  # states of many keys go on at once; they are merged later all the same
+                    yield states()
+                    held.clear()
             if held:
-                states = [[s.as_py() if isinstance(s, pa.Scalar) else s for s in acc.state()] for acc in held.values()]
-                columns = [pa.array(list(c), kept.field(n).type) for n, c in zip(keys, zip(*held))]
-                columns += [pa.array([s[i] for s in states], _carrier(t)) for i, t in enumerate(kinds)]
-                yield pa.RecordBatch.from_arrays(columns, [*keys, *(f"__s{i}" for i in range(len(kinds)))])
+                yield states()
 
         def final(table: pa.Table) -> pa.Table:
             acc = make()
@@ -217,27 +231,59 @@ class WindowCall(Expr):
         return self.udf.append(df, self, alias)
 
 
-def _bounds(frame: WindowFrame | None, ordered: bool, n: int, peers: list[tuple[int, int]], keys: list[Any]) -> list[tuple[int, int]]:
+def _bounds(frame: WindowFrame | None, ordered: bool, n: int, peers: list[tuple[int, int]], keys: list[Any], rising: bool = True) -> list[tuple[int, int]]:
     """The rows [start, stop) of each row's frame; by default up to the last peer, or all rows without an order."""
-    group = {i: g for g, (a, b) in enumerate(peers) for i in range(a, b)}
+    group = [g for g, (a, b) in enumerate(peers) for _ in range(a, b)]
     if frame is None:
         return [(0, peers[group[i]][1]) if ordered else (0, n) for i in range(n)]
     units, lo, hi = frame.units.lower(), frame.start, frame.end
     if units == "rows":
         return [(0 if lo is None else max(0, i - lo), n if hi is None else max(0, min(n, i + hi + 1))) for i in range(n)]
     if units == "groups":
-        return [(peers[max(0, group[i] - lo)][0], peers[min(len(peers) - 1, group[i] + hi)][1]) for i in range(n)]
+        return [(0 if lo is None else peers[max(0, group[i] - lo)][0], n if hi is None else peers[min(len(peers) - 1, group[i] + hi)][1]) for i in range(n)]
+    # The sorted keys between the nulls at either end; falling ones are searched as their negatives.
+    first = next((i for i in range(n) if keys[i] is not None), n)
+    last = next((i for i in range(n, first, -1) if keys[i - 1] is not None), first)
+    at = (lambda i: keys[i]) if rising else (lambda i: _Falling(keys[i]))
     out = []
     for i in range(n):
         v = keys[i]
         if v is None or lo is None and hi is None:
             out.append((0 if lo is None else peers[group[i]][0], n if hi is None else peers[group[i]][1]))
             continue
-        inside = [j for j in range(n) if keys[j] is not None and (lo is None or keys[j] >= v - lo) and (hi is None or keys[j] <= v + hi)]
-        out.append((0 if lo is None else inside[0], n if hi is None else inside[-1] + 1))
+        low = (lambda: v - lo) if rising else (lambda: _Falling(v + lo))
+        high = (lambda: v + hi) if rising else (lambda: _Falling(v - hi))
+        start = 0 if lo is None else bisect.bisect_left(range(n), low(), first, last, key=at)
+        out.append((start, n if hi is None else bisect.bisect_right(range(n), high(), first, last, key=at)))
     return out
 
 
+@functools.total_ordering
+class _Falling:
+    """A value that sorts the other way round."""
+
+    def __init__(self, value: Any):
+        self.value = value
+
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, _Falling) and self.value == other.value
+
+    def __lt__(self, other: "_Falling") -> bool:
+        return other.value < self.value
+
+
+def _changes(columns: list[pa.ChunkedArray], n: int) -> list[int]:
+    """The rows that differ from the one before, the first included."""
+    if not n:
+        return []
+    change = np.zeros(n - 1, bool)
+    for c in columns:
+        a, b = c.slice(0, n - 1), c.slice(1)
+        other = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.xor(pc.is_null(a), pc.is_null(b)))
+        change |= other.to_numpy() if isinstance(other, pa.ChunkedArray) else other.to_numpy(zero_copy_only=False)
+    return [0, *(np.flatnonzero(change) + 1).tolist()]
+
+
 class WindowUDF:
     """A window function from an evaluator instance, of which each window partition has a copy."""
 
@@ -261,27 +307,26 @@ class WindowUDF:
         sort_keys = [(n, o.asc, o.first) for n, o in zip(keys, orders)]
 
         def run(table: pa.Table) -> pa.Table:
-            at = list(range(table.num_rows))
-            for name, asc, first in reversed(sort_keys):
-                values = table.column(name).to_pylist()
-                some = sorted((i for i in at if values[i] is not None), key=lambda i: values[i], reverse=not asc) if asc else _descending(at, values)
-                none = [i for i in at if values[i] is None]
-                at = none + some if first else some + none
-            table = table.take(pa.array(at, pa.int64()))
+            order = []
+            for name, asc, first in sort_keys:  # a key's nulls stand where it says
+                table = table.append_column(f"{name}n", pc.is_null(table.column(name)))
+                order += [(f"{name}n", "descending" if first else "ascending"), (name, "ascending" if asc else "descending")]
+            if order:
+                table = table.take(pc.sort_indices(table, sort_keys=order))
             n = table.num_rows
-            held = [table.column(k).to_pylist() for k in keys]
-            starts = [i for i in range(n) if i == 0 or keys and any(c[i] != c[i - 1] for c in held)]
+            held = [table.column(keys[0]).to_pylist()] if keys and frame is not None and frame.units.lower() == "range" else []
+            starts = _changes([table.column(k) for k in keys], n)
             peers = list(zip(starts, [*starts[1:], n]))
             values = [table.column(a).combine_chunks() for a in args]
             own = copy.deepcopy(evaluator)
             if own.uses_window_frame():
-                scalars = [own.evaluate(values, b) for b in _bounds(frame, bool(keys), n, peers, held[0] if held else [None] * n)]
+                scalars = [own.evaluate(values, b) for b in _bounds(frame, bool(keys), n, peers, held[0] if held else [None] * n, not sort_keys or sort_keys[0][1])]
             elif own.supports_bounded_execution():
                 scalars = []
                 for i in range(n):
                     got = own.get_range(i, n)
                     if not isinstance(got, tuple) or len(got) != 2:
-                        raise ValueError(f"Expected get_range to return tuple of length 2, got {got!r}")
+                        raise ValueError(f"get_range has to give (start, stop), not {got!r}")
                     scalars.append(own.evaluate(values, got))
                     own.memoize()
             elif own.include_rank():
@@ -299,29 +344,23 @@ class WindowUDF:
         return f"WindowUDF({self.name})"
 
 
-def _descending(at: list[int], values: list[Any]) -> list[int]:
-    """A stable sort of positions by falling value, nulls left out."""
-    some = [i for i in at if values[i] is not None]
-    return list(reversed(sorted(reversed(some), key=lambda i: values[i])))
-
-
 def udf(func: Callable, input_types: list[pa.DataType], return_type: pa.DataType, volatility: str, name: str | None = None) -> ScalarUDF:
     """A scalar function from ``func(*pa.Array) -> pa.Array``."""
     if not callable(func):
-        raise TypeError("`func` argument must be callable")
+        raise TypeError(f"a scalar function is made from a callable, not {func!r}")
     return ScalarUDF(name or func.__qualname__.lower(), func, input_types, return_type, volatility)
 
 
 def udaf(accum: type[Accumulator], input_type: Any, return_type: pa.DataType, state_type: list[pa.DataType], volatility: str, name: str | None = None) -> AggregateUDF:
     """An aggregate function from an :class:`Accumulator` class."""
     if not issubclass(accum, Accumulator):
-        raise TypeError("`accum` must implement the abstract base class Accumulator")
+        raise TypeError(f"an aggregate is made from a subclass of Accumulator, not {accum!r}")
     return AggregateUDF(name or accum.__qualname__.lower(), accum, input_type, return_type, state_type, volatility)
 
 
 def udwf(func: WindowEvaluator, input_types: pa.DataType | list[pa.DataType], return_type: pa.DataType, volatility: str, name: str | None = None) -> WindowUDF:
     """A window function from a :class:`WindowEvaluator` instance."""
     if not isinstance(func, WindowEvaluator):
-        raise TypeError("`func` must implement the abstract base class WindowEvaluator")
+        raise TypeError(f"a window function is made from a WindowEvaluator, not {func!r}")
     kinds = [input_types] if isinstance(input_types, pa.DataType) else input_types
     return WindowUDF(name or type(func).__qualname__.lower(), func, kinds, return_type, str(volatility))

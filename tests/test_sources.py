@@ -259,3 +259,31 @@ def test_functions_of_users(ctx: SessionContext):
             bad()
     with pytest.raises(ValueError):
         udf(lambda x: x, [pa.int64()], pa.int64(), "sometimes", "f")
+
+
+def test_window_frames_by_definition(ctx):
+    """RANGE, ROWS and GROUPS frames, rising and falling, with nulls and ties, against Spark's own windows."""
+    from larkspur.expr import SortExpr
+    from larkspur.queries.functions_of_users import framed
+
+    rows = [(i % 3, [None, 5, 1, 1, 9, 4, 5, None, 2][i % 9], i) for i in range(40)]
+    df = ctx.spark.createDataFrame(rows, "p int, o long, v long")
+    df.createOrReplaceTempView("frames")
+    for asc in (True, False):
+        for first in (True, False):
+            way = f"{'ASC' if asc else 'DESC'} NULLS {'FIRST' if first else 'LAST'}"
+            for units, lo, hi in (("range", 2, 1), ("range", None, 0), ("range", 0, None), ("groups", 1, 1)):
+                end = lambda n, side: "UNBOUNDED " + side if n is None else "CURRENT ROW" if n == 0 else f"{n} {side}"
+                frame = f"{units} BETWEEN {end(lo, 'PRECEDING')} AND {end(hi, 'FOLLOWING')}"
+                got = framed().append(df, framed()(col("v")).over([col("p")], [SortExpr(col("o"), asc, first)], WindowFrame(units, lo, hi)), "s")
+                want = ctx.sql(f"SELECT v, sum(v) OVER (PARTITION BY p ORDER BY o {way} {frame}) AS s FROM frames")
+                assert {r.v: r.s for r in got.collect()} == {r["v"]: r["s"] for r in want.to_pylist()}, (way, frame)
+
+
+def test_aggregate_in_two_phases(ctx):
+    from larkspur.queries.functions_of_users import total
+
+    df = ctx.spark.createDataFrame([(None if i % 7 == 0 else i % 5, f"k{i % 2}", i) for i in range(1000)], "a int, b string, v long")
+    got = {(r.a, r.b): r.t for r in total().aggregate(df, ["a", "b"], ["v"], "t").collect()}
+    assert got == {(r.a, r.b): r.t for r in df.groupBy("a", "b").agg({"v": "sum"}).toDF("a", "b", "t").collect()}
+    assert [r.t for r in total().aggregate(df, [], ["v"], "t").collect()] == [499500]
