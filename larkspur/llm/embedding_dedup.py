@@ -7,8 +7,13 @@ hash), all classes then fall through every tree. Nodes of nearly parallel
 sample vectors are not split, so a tight group stays in one leaf. Within a
 leaf all cosines are computed as matrix products in double precision. A pair
 is counted in the first leaf its two vectors share, so link counts need no
-list of pairs; only a forest of the links leaves the task. Leaves with more
-than ``block`` classes are dealt out as pairs of blocks, so none is capped.
+list of pairs; only a forest of the links leaves the task. Leaves that hold
+more than ``4 * leaf`` classes for all that grow on, by a tree from a sample of
+their own, so that in a table of any size leaves grow in number, not in size;
+but for those of nearly parallel vectors, which no split keeps whole. Leaves
+with more than ``block`` classes are dealt out as pairs of blocks, so none is
+capped. Unless given, ``spill`` is half of what two vectors at the threshold
+differ by along a random direction of their dimension.
 
 Null and zero vectors and those holding null or non-finite components link
 with nothing, nor do vectors of different lengths. Repeated rows count as
@@ -30,7 +35,7 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.common import components, drop, store
 from larkspur.llm.minhash_dedup import _blocks, _grouped
-from larkspur.llm.vectors import encoded, matrix
+from larkspur.llm.vectors import encoded, fit_lists, long_lists, matrix, place
 
 
 class Forest:
@@ -175,6 +180,21 @@ def _forest(p: np.ndarray, q: np.ndarray, label: np.ndarray) -> tuple[list[int],
     return us, vs
 
 
+def _spill(least: float, dimension: int) -> float:
+    return 0.5 * float(np.sqrt((2 - 2 * least) / dimension))
+
+
+def _grow_on(leaf: int, spill: float | None, least: float, seed: int):
+    def fit(x: np.ndarray, rows: int) -> Forest:
+        return Forest(_unit(x), 1, max(8, int(leaf * len(x) / max(rows, 1))), spill or _spill(least, x.shape[1]), np.random.default_rng(seed), 0)
+
+    return fit
+
+
+def _into_leaves(forest: Forest, x: np.ndarray) -> tuple[list, bool]:
+    return [np.array(v, np.int64) for v in forest.leaves(_unit(x))], forest.next > 1
+
+
 def near_duplicates(
     df: DataFrame,
     id_col: str = "vec_id",
@@ -183,7 +203,7 @@ def near_duplicates(
     least: float = 0.95,
     trees: int = 7,
     leaf: int = 512,
-    spill: float = 0.02,
+    spill: float | None = None,
     sample: int = 20_000,
     block: int = 4096,
     seed: int = 9,
@@ -197,10 +217,22 @@ def near_duplicates(
     rng, forests, first = np.random.default_rng(seed), {}, 0
     for d in sorted({len(r.vec) for r in drawn}):
         x = _unit(matrix([bytes(r.vec) for r in drawn if len(r.vec) == d], kind))
-        forest = Forest(x, trees, max(8, int(leaf * len(drawn) / max(n, 1))), spill, rng, first)
+        forest = Forest(x, trees, max(8, int(leaf * len(drawn) / max(n, 1))), spill or _spill(least, x.shape[1]), rng, first)
         forests[d // np.dtype(kind).itemsize] = forest
         first = forest.next
     fallen = store(classes.mapInArrow(_fall(forests, kind), "node long, copies long, vec binary, leaves array<long>"))
+    posted = fallen.select("node", "copies", "vec", F.explode("leaves").alias("list"), F.lit(False).alias("done"))
+    level = 0
+    while level < 40 and not (large := long_lists(posted, 4 * leaf)).isEmpty():
+        level += 1
+        large = store(large)
+        models = fit_lists(posted, large, _grow_on(leaf, spill, least, seed + level), kind, min(sample, 8192), seed + level)
+        split = models.select(F.col("list").alias("m"))
+        deeper = place(posted.join(split, F.col("list") == F.col("m"), "left_semi"), models, ["node", "copies"], kind, _into_leaves)
+        posted = store(posted.join(split, F.col("list") == F.col("m"), "left_anti").unionByName(deeper).dropDuplicates(["list", "node"]))
+    if level:
+        own = posted.groupBy(F.col("node").alias("of")).agg(F.sort_array(F.collect_set("list")).alias("leaves"))
+        fallen = store(classes.select("node", "copies", "vec").join(own, F.col("node") == F.col("of")).drop("of"))
     placed = fallen.withColumn("leaf", F.explode("leaves"))
     sizes = fallen.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.count("*").alias("n_leaf")).where("n_leaf > 1")
     keys = ["leaf", "bi", "bj"]

@@ -1,15 +1,17 @@
-"""Reading embedding columns: valid vectors as bytes, matrices from bytes."""
+"""Reading embedding columns: valid vectors as bytes, matrices from bytes; splitting lists of vectors that are too long."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import bounded
+from larkspur.llm.common import bounded, store
+from larkspur.llm.textkernel import mix64
 
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -41,3 +43,62 @@ def encoded(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
 def matrix(blobs: list[bytes], kind: type) -> np.ndarray:
     """Vectors of one length as doubles."""
     return np.frombuffer(b"".join(blobs), kind).reshape(len(blobs), -1).astype(np.float64)
+
+
+def grouped(keys: list[str], fn: Callable) -> Callable:
+    from larkspur.llm.minhash_dedup import _grouped
+
+    return _grouped(keys, fn)
+
+
+def long_lists(posted: DataFrame, most: int) -> DataFrame:
+    """Lists (list, n) of more than ``most`` rows that can still be split, for rows (list, done, …)."""
+    return posted.where("not done").groupBy("list").agg(F.count("*").alias("n")).where(F.col("n") > most)
+
+
+def fit_lists(posted: DataFrame, large: DataFrame, fit: Callable, kind: type, sample: int, seed: int) -> DataFrame:
+    """A model (list, model) of each long list, by ``fit(matrix, rows of the list)`` on about ``sample`` of its rows, those of smallest hash."""
+    drawn = posted.join(large.withColumnRenamed("list", "l"), F.col("list") == F.col("l"))
+    drawn = drawn.where(F.pmod(F.xxhash64("node", F.lit(seed)), F.col("n")) < sample).select("list", "n", "vec")
+
+    def run(group: pa.Table) -> pa.RecordBatch:
+        blobs = group.column("vec").to_pylist()
+        model = pickle.dumps(fit(matrix(sorted(blobs), kind), group.column("n")[0].as_py()))
+        return pa.RecordBatch.from_arrays([group.column("list").combine_chunks().slice(0, 1), pa.array([model], pa.binary())], ["list", "model"])
+
+    return store(drawn.repartition("list").sortWithinPartitions("list").mapInArrow(grouped(["list"], run), "list long, model binary"))
+
+
+def place(rows: DataFrame, models: DataFrame, names: list[str], kind: type, pick: Callable, block: int = 8192) -> DataFrame:
+    """Rows (names, list, vec) in long lists, in the lists that their list's model deals them to: (names, vec, list, done).
+
+    ``pick(model, matrix)`` gives each row's places, and whether the model splits at all.
+    A list's rows are dealt out in blocks, each with the model.
+    """
+    counts = rows.groupBy("list").agg(F.ceil(F.count("*") / block).cast("int").alias("parts")).withColumnRenamed("list", "l")
+    wide = rows.select("list", "vec", *names).join(counts, F.col("list") == F.col("l"))
+    wide = wide.select("list", F.pmod(F.xxhash64("node", F.lit(3)), F.col("parts")).cast("int").alias("part"), F.lit(None).cast("binary").alias("model"), "vec", *names)
+    schema = dict(wide.dtypes)
+    heads = models.join(counts, F.col("list") == F.col("l")).select(
+        "list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "model", F.lit(None).cast("binary").alias("vec"), *(F.lit(None).cast(schema[c]).alias(c) for c in names)
+    )
+
+    def run(group: pa.Table) -> pa.RecordBatch | None:
+        has = group.column("model").is_valid().to_numpy()
+        at = np.flatnonzero(~has)
+        if not len(at) or not has.any():
+            return None
+        model = pickle.loads(group.column("model")[int(np.flatnonzero(has)[0])].as_py())
+        own = group.take(pa.array(at))
+        places, splits = pick(model, matrix(own.column("vec").to_pylist(), kind))
+        back = np.repeat(np.arange(len(at)), [len(p) for p in places])
+        # A new list's number: a hash of the old one's and the place in it.
+        old = own.column("list").to_numpy().astype(np.int64).view(np.uint64)[back]
+        new = old if not splits else mix64(mix64(old) ^ np.concatenate(places).astype(np.uint64)) >> np.uint64(1)
+        taken = own.take(pa.array(back)).combine_chunks()
+        columns = [*(taken.column(c) for c in (*names, "vec")), pa.array(new.view(np.int64)), pa.array(np.full(len(back), not splits))]
+        return pa.table(columns, [*names, "vec", "list", "done"]).combine_chunks().to_batches()[0]
+
+    keys = ["list", "part"]
+    out = ", ".join([*(f"{c} {schema[c]}" for c in names), "vec binary", "list long", "done boolean"])
+    return wide.union(heads).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(grouped(keys, run), out)

@@ -347,8 +347,8 @@ VECTORS = "vec_id long, embedding array<float>, label int"
 
 
 def test_embedding_dedup(spark, vectors):
-    for block, leaf in ((4096, 64), (16, 2000)):
-        out = {r.vec_id: r for r in embedding_dedup.near_duplicates(spark.createDataFrame(vectors, VECTORS), block=block, leaf=leaf).collect()}
+    for block, leaf, sample in ((4096, 64, 20000), (16, 2000, 20000), (4096, 16, 40)):
+        out = {r.vec_id: r for r in embedding_dedup.near_duplicates(spark.createDataFrame(vectors, VECTORS), block=block, leaf=leaf, sample=sample).collect()}
         valid = {i: np.array(v, float) for i, v, _ in vectors if v is not None and None not in v and np.isfinite(v).all() and np.any(v)}
         unit = {i: v / np.linalg.norm(v) for i, v in valid.items()}
         linked = lambda a, b: len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= 0.95
@@ -376,6 +376,53 @@ def test_ann(spark, vectors):
     assert ann.search(df.limit(0), F.lit(True)).count() == 0 and ann.search(df, F.lit(False)).count() == 0
 
 
+@pytest.mark.parametrize("n", [1500, 6000])
+def test_lists_grow_in_number(spark, n, monkeypatch):
+    """With a sample that is small beside the table, lists and leaves are split level by level; recall holds."""
+    rng = np.random.default_rng(14)
+    centres = rng.standard_normal((n // 20, 16))
+    x = (centres[rng.integers(0, len(centres), n)] + 0.35 * rng.standard_normal((n, 16))).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], VECTORS).cache()
+    sizes = {}
+    for module, name, most in ((ann, "_found", 4 * 32), (embedding_dedup, "_blocks", 4 * 32)):
+        inner = getattr(module, name)
+
+        def seen(first, *rest, inner=inner, name=name):
+            column = "list" if name == "_found" else "leaf"
+            sizes[name] = max(r["count"] for r in first.groupBy(column).count().collect())
+            return inner(first, *rest)
+
+        monkeypatch.setattr(module, name, seen)
+    got = collections.defaultdict(set)
+    for r in ann.search(df, F.col("vec_id") % 50 == 0, size=32, sample=150).collect():
+        got[r.query_id].add(r.vec_id)
+    wide = x.astype(float)
+    hit = 0
+    for q in range(0, n, 50):
+        d = ((wide - wide[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hit += len(got[q] & set(np.argsort(d, kind="stable")[:10].tolist()))
+        assert len(got[q]) == 10
+    assert hit / (10 * len(range(0, n, 50))) >= 0.9
+    out = {r.vec_id: r for r in embedding_dedup.near_duplicates(df, leaf=32, sample=150).collect()}
+    unit = wide / np.linalg.norm(wide, axis=1, keepdims=True)
+    links = (unit @ unit.T >= 0.95).sum(1) - 1
+    assert sum(out[i].n_links for i in range(n)) >= 0.99 * links.sum() and all(out[i].n_links <= links[i] for i in range(n))
+    assert sizes["_found"] <= 128 and sizes["_blocks"] <= 128
+    df.unpersist()
+
+
+def test_ann_short_lists_are_topped_up(spark):
+    """Small groups far apart: lists hold fewer rows than are asked for."""
+    rng = np.random.default_rng(15)
+    x = np.repeat(100 * rng.standard_normal((100, 8)), 4, axis=0) + rng.standard_normal((400, 8))
+    rows = [(i, v.astype(np.float32).astype(float).tolist(), 0) for i, v in enumerate(x)]
+    got = collections.defaultdict(list)
+    for r in ann.search(spark.createDataFrame(rows, VECTORS), F.col("vec_id") % 20 == 0, size=4, replicas=1, target=0.2).collect():
+        got[r.query_id].append(r.vec_id)
+    assert set(got) == set(range(0, 400, 20)) and all(len(v) == 10 for v in got.values())
+
+
 def test_ann_repeated_ids(spark):
     """Every pair of a query row and a row of another id, as in the SQL's join."""
     rng = np.random.default_rng(9)
