@@ -134,14 +134,14 @@ def scores(model: KernelModel, column: pa.Array, rows: int = 64) -> np.ndarray:
 def _letters(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Texts as the letters of their words without digits, runs of all else as one blank."""
     starts, ends = _word_spans(raw, off)
-    digits = np.concatenate(([0], np.cumsum((raw >= 48) & (raw <= 57))))
+    digits = np.concatenate(([0], np.cumsum((raw >= 48) & (raw <= 57), dtype=np.int32)))
     letter = _LETTER[raw]
     letter[_WORD[raw]] &= np.repeat(digits[ends] == digits[starts], ends - starts)
     after = np.zeros(len(raw), bool)
     after[1:] = letter[:-1]
     after[off[:-1][off[:-1] < len(raw)]] = False
     keep = letter | after
-    return np.where(letter, raw, 32).astype(np.uint8)[keep], np.concatenate(([0], np.cumsum(keep)))[off]
+    return np.where(letter, raw, 32).astype(np.uint8)[keep], np.concatenate(([0], np.cumsum(keep, dtype=np.int32)))[off]
 
 
 def _pieces(column: pa.Array, bins: int, rows: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:

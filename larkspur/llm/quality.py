@@ -42,11 +42,12 @@ def statistics(column: pa.Array) -> np.ndarray:
     """The feature matrix (rows x FEATURES) of a string column."""
     raw, off = buffer_of(column)
     n, k = len(off) - 1, len(_CLASSES)
-    row = np.repeat(np.arange(n), np.diff(off))
     counts = np.zeros((n, k))
-    step = 1 << 22
-    for i in range(0, len(raw), step):
-        counts += np.bincount(row[i : i + step] * k + _TABLE[raw[i : i + step]], minlength=n * k).reshape(n, k)
+    step = 1 << 20
+    for i in range(0, len(raw), step):  # the rows that a step touches
+        a, b = int(np.searchsorted(off, i, side="right")) - 1, int(np.searchsorted(off, min(i + step, len(raw)), side="left"))
+        row = np.repeat(np.arange(b - a), np.diff(np.clip(off[a : b + 1], i, i + step)))
+        counts[a:b] += np.bincount(row * k + _TABLE[raw[i : i + step]], minlength=(b - a) * k).reshape(b - a, k)
     c = dict(zip(_CLASSES, counts.T))
     size = np.diff(off).astype(np.float64)
     hashes, at = word_hashes(raw, off)

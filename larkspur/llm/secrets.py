@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import bounded, cols, map_arrow, parts, prefix_for
-from larkspur.llm.textkernel import _BYTE, _COEF, _power_tables, buffer_of, mix64
+from larkspur.llm.textkernel import _BYTE, _COEF, _WORD, _power_tables, buffer_of, mix64
 
 SHORTEST, ASSIGNED, WORD = 8, 6, 18
 BEFORE, AFTER = 64, 16
@@ -64,7 +64,7 @@ PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "ghs_", "glpat-", "xoxb-", "xoxp-",
 _KEYCHAR = np.zeros(256, bool)
 _KEYCHAR[[*range(48, 58), *range(65, 91), *range(97, 123), *b"+/=_-."]] = True
 _EQUALS = ord("=")
-_KIND = np.zeros(256, np.int64)  # 0 other, 1 digit, 2 capital, 3 small
+_KIND = np.zeros(256, np.uint8)  # 0 other, 1 digit, 2 capital, 3 small
 _KIND[48:58], _KIND[65:91], _KIND[97:123] = 1, 2, 3
 _VOWEL = np.zeros(256, bool)
 _VOWEL[list(b"aeiouyAEIOUY")] = True
@@ -91,13 +91,29 @@ FEATURES = [
 ]
 
 
-def word_hash(starts: np.ndarray, ends: np.ndarray, raw: np.ndarray) -> np.ndarray:
-    """64-bit hashes of spans of a buffer, whatever the case of ASCII letters."""
-    up, down = _power_tables(len(raw) + 1)
-    with np.errstate(over="ignore"):
-        total = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(_BYTE[raw] * up[: len(raw)], out=total[1:])
-        return mix64(((total[ends] - total[starts]) * down[starts]) ^ ((ends - starts).astype(np.uint64) * _COEF[15]))
+def word_hash(starts: np.ndarray, ends: np.ndarray, raw: np.ndarray, size: int = PART) -> np.ndarray:
+    """64-bit hashes of spans of a buffer (sorted by their starts), whatever the case of ASCII letters; some bytes at a time."""
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        first = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(starts, first + size)))
+        last = int(ends[i:j].max())
+        up, down = _power_tables(last - first + 1)
+        with np.errstate(over="ignore"):
+            total = np.zeros(last - first + 1, np.uint64)
+            np.cumsum(_BYTE[raw[first:last]] * up[: last - first], out=total[1:])
+            s, e = starts[i:j] - first, ends[i:j] - first
+            out[i:j] = mix64(((total[e] - total[s]) * down[s]) ^ ((e - s).astype(np.uint64) * _COEF[15]))
+        i = j
+    return out
+
+
+def _upto(mask: np.ndarray) -> np.ndarray:
+    """Sums of what is before each place."""
+    out = np.zeros(len(mask) + 1, np.int32)
+    np.cumsum(mask, out=out[1:], dtype=np.int32)
+    return out
 
 
 def _one_buffer(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -183,7 +199,7 @@ def coverage(raw: np.ndarray, off: np.ndarray, known: np.ndarray, longest: int =
     starts, ends = _letter_runs(raw, off, camel=False)
     for s, e in zip(starts, ends):
         end_of_run[s:e] = e
-    mark = np.zeros(n + 1, np.int64)
+    mark = np.zeros(n + 1, np.int32)
     for size in range(4, longest + 1):
         at = np.flatnonzero(end_of_run - np.arange(n) >= size)
         if not len(at):
@@ -191,8 +207,7 @@ def coverage(raw: np.ndarray, off: np.ndarray, known: np.ndarray, longest: int =
         at = at[_is_in(known, word_hash(at, at + size, raw))]
         np.add.at(mark, at, 1)
         np.add.at(mark, at + size, -1)
-    inside = np.concatenate(([0], np.cumsum(np.cumsum(mark[:-1]) > 0)))
-    letters = np.concatenate(([0], np.cumsum(letter)))
+    inside, letters = _upto(np.cumsum(mark[:-1]) > 0), _upto(letter)
     return (inside[off[1:]] - inside[off[:-1]]) / np.maximum(letters[off[1:]] - letters[off[:-1]], 1)
 
 
@@ -234,15 +249,14 @@ def _runs(raw: np.ndarray, off: np.ndarray, known: np.ndarray) -> list[tuple[int
     if not len(start):
         return []
     kind = _KIND[raw]
-    sums = lambda x: np.concatenate(([0], np.cumsum(x)))
-    odd = (kind == 1).astype(np.int64)
+    odd = (kind == 1).astype(np.int32)
     s, e = _letter_runs(raw, off, camel=True)
     unknown = (e - s < 4) | ~_is_in(known, word_hash(s, e, raw))
     np.add.at(odd, s[unknown], (e - s)[unknown])  # a run of letters counts at its first one
-    turns, long = np.zeros(len(raw), np.int64), np.zeros(len(raw), np.int64)
+    turns = np.zeros(len(raw), np.uint8)
     turns[1:] = (kind[1:] == 2) & (kind[:-1] == 3)
-    long[s[e - s >= WORD]] = 1
-    odd, digits, letters, unlike = sums(odd), sums(kind == 1), sums(kind >= 2), sums((kind == 1) + turns + 2 * long)
+    turns[s[e - s >= WORD]] += 2
+    odd, digits, letters, unlike = _upto(odd), _upto(kind == 1), _upto(kind >= 2), _upto(turns)
     n_digits, n_letters = digits[end] - digits[start], letters[end] - letters[start]
     unlike = (n_digits > 0) | (unlike[end] - unlike[start] > 1)
     row = np.searchsorted(off, start, side="right") - 1
@@ -280,10 +294,10 @@ def _assigned(raw: np.ndarray, off: np.ndarray, known: np.ndarray) -> list[tuple
     # What is all dictionary words is none.
     own, cut = _one_buffer([data[s:e] for s, e in found])
     s, e = _letter_runs(own, cut, camel=True)
-    plain = np.zeros(len(own), np.int64)
+    plain = np.zeros(len(own), np.int32)
     plain[s] = np.where((e - s < 4) | _is_in(known, word_hash(s, e, own)), 0, e - s)
     plain += (_KIND[own] == 1) | _SYMBOL[own]
-    upto = np.concatenate(([0], np.cumsum(plain)))
+    upto = _upto(plain)
     return [f for f, odd in zip(found, upto[cut[1:]] - upto[cut[:-1]]) if odd > 0]
 
 
@@ -299,7 +313,7 @@ def _marked(raw: np.ndarray, off: np.ndarray) -> list[tuple[int, int]]:
     fit = ends - starts >= SHORTEST
     starts, ends = starts[fit], ends[fit]
     for some in (_SYMBOL, _KIND == 1, _KIND >= 2):
-        upto = np.concatenate(([0], np.cumsum(some[raw])))
+        upto = _upto(some[raw])
         fit = upto[ends] > upto[starts]
         starts, ends = starts[fit], ends[fit]
     found = []
@@ -335,6 +349,16 @@ def candidates(raw: np.ndarray, off: np.ndarray, known: np.ndarray) -> tuple[np.
     return np.searchsorted(off, at[:, 0], side="right") - 1, at[:, 0], at[:, 1]
 
 
+def _blank_from(raw: np.ndarray, at: int, high: int) -> int:
+    """The first white space from a place on, or the end."""
+    while at < high:
+        hit = np.flatnonzero(~_WORD[raw[at : min(at + PART, high)]])
+        if len(hit):
+            return at + int(hit[0])
+        at += PART
+    return high
+
+
 # Features
 
 
@@ -613,9 +637,27 @@ class Scanner:
         out = [self.forest.predict(features(found[i : i + 4096], self.transitions, self.words, self.known)) for i in range(0, len(found), 4096)]
         return np.concatenate(out) if out else np.empty(0)
 
+    def candidates(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Candidates of a batch; a text far beyond PART is gone through in windows that end at white space, each with what surrounds it."""
+        if len(raw) <= 8 * PART:
+            return candidates(raw, off, self.known)
+        found = []
+        for r, (low, high) in enumerate(zip(off[:-1].tolist(), off[1:].tolist())):
+            at = low
+            while at < high:
+                cut = at + 4 * PART
+                end = high if cut + PART >= high else _blank_from(raw, cut + PART, high)
+                cut = high if end == high else cut
+                first = max(low, at - PART)
+                _, s, e = candidates(raw[first:end], np.array([0, end - first]), self.known)
+                own = (s + first >= at) & (s + first < cut)
+                found.append((np.full(own.sum(), r), s[own] + first, e[own] + first))
+                at = cut
+        return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 3
+
     def find(self, raw: np.ndarray, off: np.ndarray, paths: list[str | None] | None = None, threshold: float = 0.5) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Rows, first and end bytes, and scores of a batch's candidates; of those at the threshold that overlap only the best (then longest) stays."""
-        row, start, end = candidates(raw, off, self.known)
+        row, start, end = self.candidates(raw, off)
         score = self.scores([_finding(raw, off, r, s, e, paths[r] if paths else "") for r, s, e in zip(row, start, end)])
         keep = np.ones(len(row), bool)
         hits = np.flatnonzero(score >= threshold)
@@ -652,10 +694,10 @@ def scan(docs: DataFrame, scanner: Scanner | None = None, *, threshold: float =
                 row, start, end, score = scanner.find(raw, off, part.column("path").to_pylist(), threshold)
                 if not len(row):
                     continue
-                points = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
+                points = _upto((raw & 0xC0) != 0x80)
                 shown = ["".join("*9Aa"[k] for k in _KIND[raw[s : min(e, s + 64)]]) for s, e in zip(start, end)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(pa.array(row)), pa.array(points[start] - points[off[row]]), pa.array(points[end] - points[start]), pa.array(score), pa.array(score >= threshold), pa.array(shown)],
+                    [part.column("doc_id").take(pa.array(row)), pa.array((points[start] - points[off[row]]).astype(np.int64)), pa.array((points[end] - points[start]).astype(np.int64)), pa.array(score), pa.array(score >= threshold), pa.array(shown)],
                     ["doc_id", "start", "length", "score", "is_secret", "shown"],
                 )
 

@@ -8,6 +8,7 @@ import hashlib
 import numpy as np
 
 import corpus_pipeline
+from larkspur.llm import common
 from larkspur.llm.common import store
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -67,3 +68,46 @@ def test_deduplicate_repeated_and_null_ids(spark):
         assert collections.Counter((r.doc_id, r.text) for r in out) == want
         held.append(sorted(map(tuple, out), key=str))
     assert held[0] == held[1]
+
+
+def test_stages_with_any_columns_and_rows(spark):
+    """Columns named like internal ones, null and repeated ids, repeated rows, and empty tables, stage by stage."""
+    from tests.llm.test_operators import clashing
+
+    rng = np.random.default_rng(9)
+    word = {"en": ["the", "thing", "with", "that", "other", "house"], "de": ["der", "nicht", "schön", "über", "haus", "andere"]}
+    rows = [(i, " ".join(rng.choice(word[y], 30)), y, f"s{i % 3}", 0) for i in range(120) for y in [["en", "de"][i % 2]]]
+    rows += [rows[3], (5, "another the thing with that text of five", "en", "s1", 0), (None, "house with that thing the other", "en", None, 0), (None, None, None, None, None), (200, "", "en", "s1", 0)]
+    docs = clashing(spark, rows)
+    columns, there = docs.columns, {tuple(r)[:1] + tuple(r)[2:4] + tuple(r)[5:] for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES:
+        out = store(stage(spark, docs, ""))
+        if name == "packing":
+            assert out.agg({"length": "sum"}).first()[0] > 0
+            break
+        assert out.columns == columns
+        assert {tuple(r)[:1] + tuple(r)[2:4] + tuple(r)[5:] for r in out.collect()} <= there, name
+        docs = out
+    empty = clashing(spark, rows).limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, "").count() == 0
+
+
+def test_no_text_of_an_id_is_lost(spark):
+    """Two texts of one id are two documents until mixing chooses among them."""
+    rows = [(5, "the thing with that other house " * 3, "en", "a", 0), (5, "with house other the that thing over " * 3, "en", "a", 0)] + [(i, f"the {i} thing with number {i} of that other house {i * 7}", "en", "a", 0) for i in range(10, 60)]
+    docs = spark.createDataFrame(rows, DOCS)
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        docs = store(stage(spark, docs, ""))
+        assert sum(r.doc_id == 5 for r in docs.collect()) == 2, name
+
+
+def test_run_leaves_no_tables(spark, tmp_path, monkeypatch):
+    import os
+
+    (tmp_path / "in").mkdir()
+    rows = [(i, f"the {i} thing with number {i} of that other house {i * 7}", "en", f"s{i % 2}", 0) for i in range(60)]
+    spark.createDataFrame(rows, DOCS).write.parquet(str(tmp_path / "in" / "documents.parquet"))
+    monkeypatch.setattr(common, "shared_folder", lambda _: f"file://{tmp_path}/shared")
+    out = corpus_pipeline.run(spark, str(tmp_path / "in"))
+    assert out.count() > 0 and len(os.listdir(tmp_path / "shared" / "larkspur")) <= 4  # the last stage's input and what it stored itself

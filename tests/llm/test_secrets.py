@@ -210,6 +210,15 @@ def test_redact_clashing_columns(spark):
     assert [got[1][5 + i] for i in range(len(CLASHES))] == [f"{c}0" for c in CLASHES]
 
 
+def test_windows_of_long_texts(scanner, monkeypatch):
+    """A text that is gone through in windows has the candidates that it has as a whole."""
+    texts = ["\n".join(t for t, _, _ in secrets.labelled_lines(300, seed=s)) for s in (41, 42)] + ["", "x " * 40]
+    raw, off = buffer_of(pa.array(texts, pa.large_string()))
+    whole = [x.tolist() for x in secrets.candidates(raw, off, scanner.known)]
+    monkeypatch.setattr(secrets, "PART", 1500)
+    assert [x.tolist() for x in scanner.candidates(raw, off)] == whole
+
+
 def test_long_values(scanner):
     """A candidate of any length is scored whole, in linear time."""
     text = "x = " + "Ab9" * 1_000_000 + " " + "key: " + "z" * 1_000_000
