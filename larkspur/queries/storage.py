@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from larkspur.queries.registry import query
+from larkspur.runtime import shared_folder
 
 
 def _folder(ctx) -> str:
-    where = ctx.spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="larkspur-out-")
-        ctx.spark.conf.set("spark.checkpoint.dir", where)
-    return f"{where.rstrip('/')}/sinks/{uuid.uuid4().hex}"
+    return f"{shared_folder(ctx.spark)}/sinks/{uuid.uuid4().hex}"
 
 
 @query("w1_write_parquet", "SELECT * FROM customer WHERE c_nationkey < 5")

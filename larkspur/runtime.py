@@ -22,3 +22,13 @@ def ship(spark: SparkSession) -> None:
             out.write(path, f"larkspur/{path.relative_to(root)}")
     sc.addPyFile(target)
     sc._larkspur_shipped = True
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines share: spark.checkpoint.dir, or else the context's checkpoint folder; a temporary one where neither is set (tests)."""
+    sc = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not where:
+        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="larkspur-"))
+        where = sc.getCheckpointDir()
+    return where.rstrip("/")

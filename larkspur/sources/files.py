@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import io
 import lzma
-import tempfile
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from larkspur.runtime import shared_folder
 from larkspur.sources.object_stores import hadoop_options, hadoop_path
 from larkspur.types import normalise, spark_schema
 
@@ -30,8 +30,8 @@ def _located(spark: SparkSession, path: str, options: dict[str, str] | None) ->
 
 
 def _fetched(spark: SparkSession, url: str) -> str:
-    """A copy of what a web server has, in the folder that all machines share (spark.checkpoint.dir; else a temporary one)."""
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="larkspur-web-")).rstrip("/")
+    """A copy of what a web server has, in the folder that all machines share."""
+    folder = shared_folder(spark)
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     name = url.partition("?")[0].rstrip("/").rpartition("/")[2] or "data"
     target = jvm.org.apache.hadoop.fs.Path(f"{folder}/web/{uuid.uuid4().hex}/{name}")
