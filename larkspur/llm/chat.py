@@ -35,15 +35,18 @@ TEMPLATE = (
     "{% if m.role == 'assistant' %}{% generation %}{{ m.text | escape }}{% endgeneration %}{% else %}{{ m.text | escape }}{% endif %}"
     "{{ '</turn>' ~ '\\n' }}{% endfor %}"
 )
-_CONTROL = re.compile(r"\\|#{3,}|<(?=/turn>)")
-_ROLE = re.compile(r"\\|#{3,}|<(?=/turn>)|:")
-_UNESCAPE = re.compile(r"\\(.)", re.S)
+_RUN = re.compile(r"#{3,}")
 _HASHES = re.compile("#+")
 _END = "</turn>"
 
 
-def _guard(m: re.Match) -> str:
-    return "".join("\\" + c for c in m[0])
+def _guarded(text: str) -> str:
+    """A backslash before every backslash, every hash sign of a run of three or more, and every end mark."""
+    if "\\" in text:
+        text = text.replace("\\", "\\\\")
+    if _END in text:
+        text = text.replace(_END, "\\" + _END)
+    return _RUN.sub(lambda m: "\\#" * len(m[0]), text) if "###" in text else text
 
 
 #: Characters of a text that are escaped at once.
@@ -52,7 +55,7 @@ PIECE = 1 << 18
 
 def escape(text: str | None) -> str | Slices:
     text = text or ""
-    return _CONTROL.sub(_guard, text) if len(text) <= PIECE else Slices(lambda: _escaped(text))
+    return _guarded(text) if len(text) <= PIECE else Slices(lambda: _escaped(text))
 
 
 def _escaped(text: str) -> Iterator[str]:
@@ -63,7 +66,7 @@ def _escaped(text: str) -> Iterator[str]:
         if end < len(text) and text[end - 1] == text[end] == "#":
             head = text[at:end].rstrip("#")
             run = _HASHES.match(text, at + len(head)).end()
-            yield _CONTROL.sub(_guard, head)
+            yield _guarded(head)
             first = at + len(head)
             for i in range(first, run, PIECE):  # the run itself, of any length
                 part = text[i : min(i + PIECE, run)]
@@ -73,16 +76,17 @@ def _escaped(text: str) -> Iterator[str]:
         cut = text.rfind("<", max(at, end - len(_END)), end)  # maybe the start of a mark
         if cut > at and end < len(text):
             end = cut
-        yield _CONTROL.sub(_guard, text[at:end])
+        yield _guarded(text[at:end])
         at = end
 
 
 def escape_role(text: str | None) -> str:
-    return _ROLE.sub(_guard, text or "")
+    return _guarded(text or "").replace(":", "\\:")
 
 
 def unescape(text: str) -> str:
-    return _UNESCAPE.sub(r"\1", text)
+    """Each backslash goes, and what it guards stays; two of them are one."""
+    return "\\".join(p.replace("\\", "") for p in text.split("\\\\")) if "\\" in text else text
 
 
 def _conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, str, str]]:

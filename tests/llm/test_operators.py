@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import hashlib
 import math
+import re
 import zlib
 
 import numpy as np
@@ -462,7 +463,8 @@ def test_chat_long_texts(spark, monkeypatch):
     bits = ["#", "##", "###", "####" * 9, "\\", "\\\\", "</turn>", "</turn", "<", "</", ">", "\n", ": ", "é", "\U0001f600", "abcdefgh", "### user: ", "</turn>\n### assistant: "]
     texts = ["".join(rng.choice(bits, int(rng.integers(1, 60)))) for _ in range(300)]
     for t in texts:
-        assert "".join(chat.escape(t)) == chat._CONTROL.sub(chat._guard, t) and chat.unescape("".join(chat.escape(t))) == t
+        plain = re.sub(r"\\|#{3,}|<(?=/turn>)", lambda m: "".join("\\" + c for c in m[0]), t)
+        assert "".join(chat.escape(t)) == plain and re.sub(r"(?s)\\(.)", r"\1", plain) == chat.unescape("".join(chat.escape(t))) == t
     rows = [(i // 6, i % 6, ["user", "assistant", "a:b\\"][i % 3], t) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
     for part_chars in (1, 7, 1000):
