@@ -163,13 +163,21 @@ def format_conversations(rows: DataFrame, template: str = TEMPLATE, *, part_char
     return sorted_rows.select("conv_id", "role", "text").mapInArrow(_render(template, part_chars), _SCHEMA)
 
 
+def _guards(text: str, i: int, at: int) -> int:
+    """How many backslashes stand on end before i, none before at."""
+    size = 16
+    while True:
+        some = text[max(at, i - size) : i]
+        n = len(some) - len(some.rstrip("\\"))
+        if n < len(some) or len(some) == i - at:
+            return n
+        size *= 8
+
+
 def _next(text: str, mark: str, at: int) -> int:
     """Where the next mark that no backslash guards begins, or -1."""
     while (i := text.find(mark, at)) >= 0:
-        j = i
-        while j > at and text[j - 1] == "\\":
-            j -= 1
-        if (i - j) % 2 == 0:
+        if _guards(text, i, at) % 2 == 0:
             return i
         at = i + 1
     return -1
@@ -182,10 +190,7 @@ def _open_end(text: str, mark: str, at: int) -> int:
         if mark.startswith(text[end - k :]):
             end -= k
             break
-    j = end
-    while j > at and text[j - 1] == "\\":
-        j -= 1
-    return end - (end - j) % 2
+    return end - _guards(text, end, at) % 2
 
 
 def _events(parts: Iterator[str]) -> Iterator[tuple[str, str]]:
