@@ -177,8 +177,8 @@ def likeness(share: np.ndarray, column: pa.Array) -> np.ndarray:
 def labelled_sample(docs: DataFrame, train: Column, per_language: int, most: int = 20_000, most_bytes: int = 64 << 20) -> list:
     """Distinct (text, lang) rows within the bounds that the module's notes state, by smallest hash of the text.
 
-    The choice is made on labels, hashes and lengths alone, first within 64
-    salts of each language, so that no task gathers a frequent language. What
+    The choice is made on labels, hashes and lengths alone, first within 64 and
+    then 8 salts of each language, so that no task gathers a frequent language. What
     is sent to the tasks to fetch the texts has at most ``most`` rows (or one a
     language, if there are more languages).
     """
@@ -189,7 +189,7 @@ def labelled_sample(docs: DataFrame, train: Column, per_language: int, most: int
     share = F.least(F.lit(per_language), F.greatest(F.lit(1), F.floor(F.lit(most) / F.col("langs"))))
     room = F.floor(F.lit(most_bytes) / F.col("langs"))
     chosen = kinds.where(F.col("bytes") <= room)
-    for by in (["lang", F.pmod("h", F.lit(64))], ["lang"]):
+    for by in (["lang", F.pmod("h", F.lit(64))], ["lang", F.pmod("h", F.lit(8))], ["lang"]):
         w = Window.partitionBy(*by).orderBy("h")
         chosen = chosen.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= share).withColumn("upto", F.sum("bytes").over(w)).where(F.col("upto") <= room).drop("rank", "upto")
     chosen = chosen.select(F.col("lang").alias("label"), F.col("h").alias("hash"))

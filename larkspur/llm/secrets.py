@@ -30,6 +30,7 @@ ignored by :func:`scan` and kept by :func:`redact`, whatever their names.
 
 from __future__ import annotations
 
+import random
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -441,11 +442,10 @@ def features(found: list[Finding], transitions: np.ndarray, words: dict[str, flo
 
 def labelled_lines(n: int = 10000, seed: int = 5) -> list[tuple[str, list[str], str]]:
     """Lines of the kinds that scanners meet: (line, the secrets in it, path of the file)."""
-    rng = np.random.default_rng(seed)
+    rng = random.Random(seed)
     hexa, small, base62 = "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
-    pick = lambda seq: seq[int(rng.integers(len(seq)))]
-    upto = lambda a, b: int(rng.integers(a, b))
-    draw = lambda letters, k: "".join(letters[i] for i in rng.integers(len(letters), size=k))
+    pick, upto = rng.choice, rng.randrange
+    draw = lambda letters, k: "".join(rng.choices(letters, k=k))
     words = lambda k, sep=" ": sep.join(pick(DICTIONARY) for _ in range(k))
     made = lambda k: "".join(draw("bcdfghlmnprst", 1) + draw("aeiou", 1) + draw("lnrst ", 1).strip() for _ in range(k))
     title = lambda k, sep: sep.join(w.title() for w in words(k).split())
