@@ -15,8 +15,9 @@ their length, character classes and transitions, the share that dictionary
 words cover, the document's path, and the neighbouring words. The odds of
 transitions and of neighbouring words are learned from the findings; the
 dictionary is learned from the corpus (:func:`dictionary`): the words of at
-least ``spread`` documents, at most ``most`` of them (those in most documents),
-beside a short fixed list. These two are documented bounds.
+least ``spread`` documents, at most ``most`` of them (those in most documents,
+words of about the same count together), beside a short fixed list. These two
+are documented bounds.
 
 Labelled findings come from :func:`labelled_findings`, a seeded generator of
 lines in which keys occur and of what is mistaken for them; a table (value,
@@ -41,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import bounded, cols, map_arrow, parts, prefix_for
+from larkspur.llm.common import bounded, cols, map_arrow, parts, prefix_for, store
 from larkspur.llm.textkernel import _BYTE, _COEF, _WORD, _power_tables, buffer_of, mix64
 
 SHORTEST, ASSIGNED, WORD = 8, 6, 18
@@ -172,10 +173,8 @@ def dictionary(docs: DataFrame, *, spread: int = 8, most: int = 1 << 16, shortes
                 fit = (ends - starts >= shortest) & (ends - starts <= longest)
                 starts, ends = starts[fit], ends[fit]
                 h, row = word_hash(starts, ends, raw), np.searchsorted(off, starts, side="right")
-                order = np.lexsort((h, row))
-                h, row = h[order], row[order]
-                first = np.ones(len(h), bool)
-                first[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+                with np.errstate(over="ignore"):  # a word counts once a document
+                    _, first = np.unique(mix64(h ^ (row.astype(np.uint64) * _COEF[3])), return_index=True)
                 u, n = np.unique(h[first], return_counts=True)
                 held.append((u, n))
                 size += len(u)
@@ -189,7 +188,15 @@ def dictionary(docs: DataFrame, *, spread: int = 8, most: int = 1 << 16, shortes
             yield out(*merged())
 
     counted = bounded(docs).select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= spread)
-    rows = counted.orderBy(F.desc("n"), "h").limit(most).select("h").collect()
+    counted = store(counted.withColumn("level", F.floor(F.log2(F.col("n").cast("double")) * 32).cast("int")))
+    # Words of one level of counts (32 a doubling) come or stay away together, so that tasks send the driver what it keeps.
+    held, least = 0, 0
+    for r in counted.groupBy("level").agg(F.count("*").alias("words")).orderBy(F.desc("level")).collect():
+        held += r.words
+        if held > most:
+            least = r.level + 1
+            break
+    rows = counted.where(F.col("level") >= least).select("h").collect()
     return np.unique(np.concatenate((_fixed(), np.array([r.h for r in rows], np.int64).view(np.uint64))))
 
 
@@ -250,20 +257,25 @@ def _runs(raw: np.ndarray, off: np.ndarray, known: np.ndarray) -> list[tuple[int
     if not len(start):
         return []
     kind = _KIND[raw]
-    odd = (kind == 1).astype(np.int32)
     s, e = _letter_runs(raw, off, camel=True)
-    unknown = (e - s < 4) | ~_is_in(known, word_hash(s, e, raw))
-    np.add.at(odd, s[unknown], (e - s)[unknown])  # a run of letters counts at its first one
     turns = np.zeros(len(raw), np.uint8)
     turns[1:] = (kind[1:] == 2) & (kind[:-1] == 3)
     turns[s[e - s >= WORD]] += 2
-    odd, digits, letters, unlike = _upto(odd), _upto(kind == 1), _upto(kind >= 2), _upto(turns)
+    digits, letters, unlike = _upto(kind == 1), _upto(kind >= 2), _upto(turns)
     n_digits, n_letters = digits[end] - digits[start], letters[end] - letters[start]
-    unlike = (n_digits > 0) | (unlike[end] - unlike[start] > 1)
     row = np.searchsorted(off, start, side="right") - 1
     wide = (start > off[row]) & (raw[np.maximum(start - 1, 0)] >= 128) | (end < off[row + 1]) & (raw[np.minimum(end, len(raw) - 1)] >= 128)
-    fit = unlike & (odd[end] - odd[start] >= 6) & ((n_letters > 0) | (end - start >= 16)) & ~(wide & (n_digits == 0) & (end - start < 16))  # what stands beside other letters is part of a word
-    return list(zip(start[fit].tolist(), end[fit].tolist()))
+    # What stands beside other letters is part of a word.
+    fit = ((n_digits > 0) | (unlike[end] - unlike[start] > 1)) & ((n_letters > 0) | (end - start >= 16)) & ~(wide & (n_digits == 0) & (end - start < 16))
+    start, end, n_digits = start[fit], end[fit], n_digits[fit]
+    if not len(start):
+        return []
+    # Only of what is left are the letters looked up.
+    own, cut = _one_buffer([raw[i:j].tobytes() for i, j in zip(start, end)])
+    s, e = _letter_runs(own, cut, camel=True)
+    unknown = (e - s < 4) | ~_is_in(known, word_hash(s, e, own))
+    odd = n_digits + np.bincount(np.searchsorted(cut, s[unknown], side="right") - 1, (e - s)[unknown], len(start))
+    return list(zip(start[odd >= 6].tolist(), end[odd >= 6].tolist()))
 
 
 def _assigned(raw: np.ndarray, off: np.ndarray, known: np.ndarray) -> list[tuple[int, int]]:
