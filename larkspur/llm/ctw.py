@@ -28,6 +28,7 @@ gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -66,6 +67,29 @@ def stream(raw: np.ndarray, off: np.ndarray, depth: int) -> tuple[np.ndarray, np
     return out, base, np.flatnonzero(counted)
 
 
+#: Bytes from which on a text is gone through in segments.
+LONG = 4 << 20
+
+
+def streams(raw: np.ndarray, off: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """:func:`stream` of rows; of one long text segment by segment, each led by the last bytes of the one before."""
+    if len(off) != 2 or len(raw) <= LONG:
+        yield stream(raw, off, depth)
+        return
+    lead, at = np.full(depth, END, np.uint8), 0
+    while at < len(raw):
+        end = at + LONG
+        while end < len(raw) and not (hit := np.flatnonzero(~_WORD[raw[end : end + LONG]])).size:
+            end += LONG
+        end = len(raw) if end >= len(raw) else end + int(hit[0])
+        out, base, counted = stream(raw[at:end], np.array([0, end - at]), depth)
+        out[:depth] = lead
+        if end < len(raw):  # the end byte is the last segment's
+            out, base, counted = out[:-1], base - np.array([0, 1]), counted[:-1]
+        yield out, base, counted
+        lead, at = out[len(out) - depth :].copy(), end
+
+
 def grams(out: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
     """For each position its byte (lowest) and the ``depth`` bytes before, the nearest lowest."""
     key = out[at].astype(np.uint64)
@@ -171,11 +195,12 @@ def _count(depth: int, buckets: int, chunk_bytes: int):
                     if not some.num_rows:
                         continue
                     raw, off = buffer_of(some.column("text"))
-                    out, _, at = stream(raw, off, depth)
                     words, _ = word_hashes(raw, off)
-                    for pieces, found in zip(held, (grams(out, at, depth), np.append(words, np.full(len(off) - 1, _END_HASH, np.uint64)))):
-                        keys, counts = _counted(found)
-                        _add(pieces, keys, counts * train)
+                    found = [(1, np.append(words, np.full(len(off) - 1, _END_HASH, np.uint64)))]
+                    del words
+                    for kind, strings in itertools.chain(found, ((0, grams(out, at, depth)) for out, _, at in streams(raw, off, depth))):
+                        keys, counts = _counted(strings)
+                        _add(held[kind], keys, counts * train)
                     size += len(raw)
                 rows.append(part.select(["doc_id", "text"]))
                 if size >= chunk_bytes:
@@ -384,9 +409,11 @@ def _score(depth: int, norm: float):
         found = []
         for part in pa.ipc.open_stream(blob):
             raw, off = buffer_of(part.column("text"))
-            out, base, at = stream(raw, off, depth)
-            total = np.concatenate(([0.0], np.cumsum(costs[_find(strings, grams(out, at, depth))].astype(np.float64))))
-            upto = np.searchsorted(at, base)
+            cost, size = np.zeros(len(off) - 1), np.zeros(len(off) - 1, np.int64)
+            for out, base, at in streams(raw, off, depth):
+                total = np.concatenate(([0.0], np.cumsum(costs[_find(strings, grams(out, at, depth))].astype(np.float64))))
+                upto = np.searchsorted(at, base)
+                cost, size = cost + np.diff(total[upto]), size + np.diff(upto)
             words, wo = word_hashes(raw, off)
             words = np.insert(words, wo[1:], np.uint64(_END_HASH))
             wo = wo + np.arange(len(wo))
@@ -395,7 +422,7 @@ def _score(depth: int, norm: float):
             hits = np.concatenate(([0], np.cumsum(counts[pos] > 0)))
             found.append(
                 pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(np.diff(wo), pa.int64()), pa.array(np.diff(hits[wo]), pa.int64()), pa.array(np.diff(upto_logs[wo])), pa.array(np.diff(total[upto])), pa.array(np.diff(upto), pa.int64())],
+                    [part.column("doc_id"), pa.array(np.diff(wo), pa.int64()), pa.array(np.diff(hits[wo]), pa.int64()), pa.array(np.diff(upto_logs[wo])), pa.array(cost), pa.array(size, pa.int64())],
                     ["doc_id", "n_tokens", "n_known", "base_score", "score", "n_bytes"],
                 )
             )

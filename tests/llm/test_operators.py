@@ -480,6 +480,18 @@ def test_chat_long_texts(spark, monkeypatch):
         list(read_back(iter(["nothing of the kind"])))
 
 
+@pytest.mark.parametrize("depth", [0, 2, 6])
+def test_ctw_segments_of_long_texts(depth, monkeypatch):
+    """Segments of a long text have the strings, in order, that it has as a whole."""
+    rng = np.random.default_rng(16)
+    monkeypatch.setattr(ctw, "LONG", 50)
+    for text in (b"", b" ", b"x" * 500, b"a b" * 200, b"  lead " + bytes(rng.choice(list(b"abc \n"), 900).astype(np.uint8)) + b"tail", b"y" * 49 + b" " * 80 + b"z", b"w " * 25):
+        raw, off = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+        out, base, at = ctw.stream(raw, off, depth)
+        parts = [(ctw.grams(o, a, depth), np.diff(np.searchsorted(a, b))) for o, b, a in ctw.streams(raw, off, depth)]
+        assert np.array_equal(np.concatenate([g for g, _ in parts]), ctw.grams(out, at, depth)) and sum(int(n[0]) for _, n in parts) == len(at)
+
+
 def test_ctw_keeps_every_context(spark):
     """Scores equal a tree of all contexts by brute force, one seen once among 100,000 positions too."""
     depth, lgamma = 6, np.vectorize(math.lgamma)
