@@ -172,6 +172,7 @@ def _count(depth: int, buckets: int, chunk_bytes: int):
     def blocks(chunk: int, rows: list, held: list[list]) -> Iterator[pa.RecordBatch]:
         for kind, pieces in enumerate(held):
             keys, counts = _merge([p[0] for p in pieces], [p[1] for p in pieces])
+            pieces.clear()
             where = (keys >> np.uint64(8)) & _low(top) if kind == 0 else keys
             bucket = ((where * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % buckets
             del where
