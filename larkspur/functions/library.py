@@ -50,7 +50,7 @@ def date_bin(length: int | str, ts: Column, origin: int | str = 0) -> Column:
     if months and micros or months <= 0 and micros <= 0:
         raise ValueError("bins are of whole months or of a fixed length")
     ts = ts.cast("timestamp_ntz")
-    zero, day = F.expr("timestamp_ntz'1970-01-01'"), F.lit(86_400_000_000)
+    zero = F.expr("timestamp_ntz'1970-01-01'")
     begin = zero + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(origin)) if isinstance(origin, int) else F.lit(origin).cast("timestamp_ntz")
     if months:
         count = (F.year(ts) - F.year(begin)) * 12 + F.month(ts) - F.month(begin)
@@ -58,8 +58,8 @@ def date_bin(length: int | str, ts: Column, origin: int | str = 0) -> Column:
         start = begin + F.make_ym_interval(F.lit(0), count)
         return F.when(start > ts, begin + F.make_ym_interval(F.lit(0), count - months)).otherwise(start)
     epoch = lambda t: (F.unix_date(t.cast("date")).cast("long") * 86400 + F.hour(t) * 3600 + F.minute(t) * 60) * 1_000_000 + (F.extract(F.lit("SECOND"), t) * 1_000_000).cast("long")
-    at = epoch(ts) - F.pmod(epoch(ts) - epoch(begin), F.lit(micros))
-    return zero + F.make_dt_interval(((at - F.pmod(at, day)) / day).cast("int"), F.lit(0), F.lit(0), F.pmod(at, day).cast("decimal(18, 0)") / 1_000_000)
+    past = F.pmod(epoch(ts) - epoch(begin), F.lit(micros))
+    return ts - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), past.cast("decimal(18, 0)") / 1_000_000)
 
 
 def concat(*args: Column) -> Column:
