@@ -452,7 +452,7 @@ def features(found: list[Finding], transitions: np.ndarray, words: dict[str, flo
 # Labelled findings
 
 
-def labelled_lines(n: int = 10000, seed: int = 5) -> list[tuple[str, list[str], str]]:
+def labelled_lines(n: int = 8000, seed: int = 5) -> list[tuple[str, list[str], str]]:
     """Lines of the kinds that scanners meet: (line, the secrets in it, path of the file)."""
     rng = random.Random(seed)
     hexa, small, base62 = "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
@@ -560,7 +560,7 @@ def _finding(raw: np.ndarray, off: np.ndarray, r: int, s: int, e: int, path: str
     return Finding(raw[s:e].tobytes(), raw[max(off[r], s - BEFORE) : s].tobytes(), raw[e : min(off[r + 1], e + AFTER)].tobytes(), path or "")
 
 
-def labelled_findings(n: int = 10000, seed: int = 5, known: np.ndarray | None = None) -> list[tuple[Finding, int]]:
+def labelled_findings(n: int = 8000, seed: int = 5, known: np.ndarray | None = None) -> list[tuple[Finding, int]]:
     return findings_of(labelled_lines(n, seed), _fixed() if known is None else known)
 
 
@@ -591,7 +591,7 @@ class Forest:
         return total / len(self.roots)
 
 
-def grow_forest(x: np.ndarray, y: np.ndarray, *, trees: int = 80, depth: int = 12, leaf: int = 3, bins: int = 32, seed: int = 1) -> Forest:
+def grow_forest(x: np.ndarray, y: np.ndarray, *, trees: int = 48, depth: int = 12, leaf: int = 3, bins: int = 32, seed: int = 1) -> Forest:
     """Bagged trees; each split looks at a random third of the features, at quantile cuts, by Gini impurity."""
     rng = np.random.default_rng(seed)
     n, d = x.shape
