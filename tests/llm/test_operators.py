@@ -6,6 +6,7 @@ import collections
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -413,6 +414,25 @@ def test_lists_grow_in_number(spark, n, monkeypatch):
     df.unpersist()
 
 
+def test_ann_driver_memory(spark):
+    """What the driver holds for two thousand lists doesn't grow with lists times queries times neighbours."""
+    x = np.random.default_rng(16).standard_normal((12_000, 64)).astype(np.float32)
+    df = spark.createDataFrame([(i, v, 0) for i, v in enumerate(x.tolist())], VECTORS)
+    tracemalloc.start()
+    got = collections.defaultdict(set)
+    for r in ann.search(df, F.col("vec_id") % 100 == 0, size=8).collect():
+        got[r.query_id].add(r.vec_id)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    hit = 0
+    for q in range(0, len(x), 100):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hit += len(got[q] & set(np.argpartition(d, 10)[:10].tolist()))
+    assert peak < 200e6, peak
+    assert hit / (10 * len(got)) >= 0.9 and len(got) == 120
+
+
 def test_ann_short_lists_are_topped_up(spark):
     """Small groups far apart: lists hold fewer rows than are asked for."""
     rng = np.random.default_rng(15)
