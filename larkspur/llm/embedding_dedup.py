@@ -1,26 +1,30 @@
-"""Embedding near-duplicates by a forest of random-projection trees.
-
-Equal vectors form one class. Each tree splits space again and again at the
-median of a random projection; vectors within ``spill`` of a split go to both
-sides. Split points come from at most ``sample`` classes (those of smallest
-hash), all classes then fall through every tree. Nodes of nearly parallel
-sample vectors are not split, so a tight group stays in one leaf. Within a
-leaf all cosines are computed as matrix products in double precision. A pair
-is counted in the first leaf its two vectors share, so link counts need no
-list of pairs; only a forest of the links leaves the task. Leaves that hold
-more than ``4 * leaf`` classes for all that grow on, by a tree from a sample of
-their own, so that in a table of any size leaves grow in number, not in size;
-but for those of nearly parallel vectors, which no split keeps whole. Leaves
-with more than ``block`` classes are dealt out as pairs of blocks, so none is
-capped. Unless given, ``spill`` is half of what two vectors at the threshold
-differ by along a random direction of their dimension.
+"""Embedding near-duplicates by cells around centroids, searched by inverted lists.
+
+Equal vectors are one. At most ``sample`` vectors (smallest hashes) are halved
+again and again at medians; the parts' means are the centroids of cells: one
+for about ``leaf`` vectors where ``CELLS`` of them suffice, or else so few that
+a cell's vectors fill about 64 MB. A vector is held by the cell of its nearest
+centroid, and asks there and in the other cells whose centroid is less near by
+at most ``spill``. So a pair is found if either asks where the other is held.
+Unless given, ``spill`` is about 3.5 deviations of half of what two vectors at
+the threshold differ by along the line between two centroids.
+
+A task holds a cell's vectors once, in lists around centroids of its own, one
+for about ``leaf`` vectors whatever the cell's size; those that ask stream past
+them and read the lists that are near enough. Cosines are bounded by matrix
+products, and taken in double precision where they come near the threshold. A
+pair is counted for both its vectors, in one cell: where they ask each other's,
+in the one of the smaller number. So link counts need no list of pairs; only a
+forest of the links leaves the task. Cells with more than ``block`` vectors are
+dealt out in blocks, each of which meets all that ask, so none is capped.
 
 Null and zero vectors and those holding null or non-finite components link
 with nothing, nor do vectors of different lengths. Repeated rows count as
 vectors of their own. An empty table gives an empty result; further columns
-are ignored. Vectors are told apart by a 64-bit hash of their bytes.
+are ignored. Vectors are told apart by a 64-bit hash of their bytes. The table
+is read three times, as copies of its vectors would take more room.
 
-Pairs at the threshold are found with probability over 0.999 in tests against
+Pairs at the threshold are found with probability over 0.99 in tests against
 brute force; none below it is linked.
 """
 
@@ -33,58 +37,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.llm.ann import Lists
 from larkspur.llm.common import components, drop, store
-from larkspur.llm.minhash_dedup import _blocks, _grouped
-from larkspur.llm.vectors import encoded, fit_lists, long_lists, matrix, place
-
-
-class Forest:
-    """Random-projection trees over unit vectors of one length; leaves have numbers of their own."""
-
-    def __init__(self, x: np.ndarray, trees: int, leaf: int, spill: float, rng: np.random.Generator, first: int):
-        self.nodes: list[tuple] = []  # (direction, split, left, right) or (leaf number,)
-        self.spill, self.next = spill, first
-        self.roots = [self._grow(x, np.arange(len(x)), leaf, rng, 0) for _ in range(trees)]
-
-    def _tight(self, x: np.ndarray) -> bool:
-        some = x[:: max(1, len(x) // 64)]
-        return float(np.quantile(some @ some.T, 0.25)) > 0.85
-
-    def _grow(self, x: np.ndarray, at: np.ndarray, leaf: int, rng: np.random.Generator, depth: int) -> int:
-        here = len(self.nodes)
-        self.nodes.append(())
-        if len(at) > leaf and depth < 40 and not self._tight(x[at]):
-            way = rng.standard_normal(x.shape[1])
-            way /= np.linalg.norm(way)
-            p = x[at] @ way
-            split = float(np.median(p))
-            left, right = at[p <= split], at[p > split]
-            if len(left) and len(right):
-                a = self._grow(x, left, leaf, rng, depth + 1)
-                b = self._grow(x, right, leaf, rng, depth + 1)
-                self.nodes[here] = (way, split, a, b)
-                return here
-        self.nodes[here] = (self.next,)
-        self.next += 1
-        return here
-
-    def leaves(self, x: np.ndarray) -> list[list[int]]:
-        """The sorted leaf numbers of each row."""
-        out: list[list[int]] = [[] for _ in range(len(x))]
-        stack = [(root, np.arange(len(x))) for root in self.roots]
-        while stack:
-            node, at = stack.pop()
-            if not len(at):
-                continue
-            n = self.nodes[node]
-            if len(n) == 1:
-                for i in at:
-                    out[i].append(n[0])
-            else:
-                p = x[at] @ n[0]
-                stack.append((n[2], at[p <= n[1] + self.spill]))
-                stack.append((n[3], at[p > n[1] - self.spill]))
-        return [sorted(v) for v in out]
+from larkspur.llm.vectors import GROUP_BYTES, encoded, flat, matrix, streamed
+
+#: So many cells at most have about ``leaf`` vectors each; tables that need more have cells of some 64 MB, this number's quarter at least.
+CELLS = 256
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -92,69 +50,159 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _fall(forests: dict[int, Forest], kind: type):
+class Cells:
+    """Unit centroids, and those that are near to unit vectors."""
+
+    def __init__(self, x: np.ndarray, size: int, rng: np.random.Generator):
+        c = Lists(x, size, rng).centroids
+        norm = np.sqrt((c * c).sum(1, keepdims=True))
+        self.centroids = (c / np.maximum(norm, 1e-9)).astype(np.float32)
+
+    def near(self, x: np.ndarray, margin: float, cells: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each row's nearest centroid, and pairs (row, centroid) of those nearer than the nearest less ``margin``, by row."""
+        home, rows, found = np.zeros(len(x), np.int64), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        n = len(self.centroids)
+        step = max(1, cells // n)
+        for i in range(0, len(x), step):
+            a = x[i : i + step].astype(np.float32, copy=False) @ self.centroids.T
+            home[i : i + step] = a.argmax(1)
+            r, c = np.divmod(np.flatnonzero(a >= a.max(1, keepdims=True) - np.float32(margin)), n)
+            rows.append(r + i)
+            found.append(c)
+        return home, np.concatenate(rows), np.concatenate(found)
+
+
+def _post(cells: dict[int, tuple[Cells, int, float]], kind: type):
+    """Rows of the cells that hold vectors and of those where they ask; a batch's equal vectors are one."""
     size = np.dtype(kind).itemsize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            blobs = batch.column("vec").to_pylist()
-            leaves: list[list[int]] = [[] for _ in blobs]
-            for d, forest in forests.items():
-                at = [i for i, b in enumerate(blobs) if len(b) == d * size]
-                if at:
-                    for i, found in zip(at, forest.leaves(_unit(matrix([blobs[i] for i in at], kind)))):
-                        leaves[i] = found
-            for i, b in enumerate(blobs):
-                if not leaves[i]:  # a length that the sample lacks: one leaf for it
-                    leaves[i] = [-(len(b) // size)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "copies", "vec")), pa.array(leaves, pa.list_(pa.int64()))], ["node", "copies", "vec", "leaves"])
+            if not batch.num_rows:
+                continue
+            _, first, copies = np.unique(batch.column("node").to_numpy(), return_index=True, return_counts=True)
+            some = batch.take(pa.array(first))
+            blobs = some.column("vec").to_pylist()
+            length = np.array([len(b) // size for b in blobs])
+            for d in np.unique(length):
+                at = np.flatnonzero(length == d)
+                if int(d) in cells:
+                    index, base, margin = cells[int(d)]
+                    home, rows, leaf = index.near(_unit(matrix([blobs[i] for i in at], kind)), margin)
+                    home, leaf = home + base, leaf + base
+                else:  # a length that the sample lacks: one cell for it
+                    home, rows, leaf = np.full(len(at), -d), np.arange(len(at)), np.full(len(at), -d)
+                cuts = np.searchsorted(rows, np.arange(len(at) + 1))
+                asks = leaf != home[rows]
+                full = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(leaf, pa.int64()))
+                # Only where a vector is held, all cells where it asks come with it.
+                lists = full.take(pa.array(rows, pa.int64(), mask=asks))
+                own = some.take(pa.array(at[rows]))
+                columns = [own.column("node"), pa.array(copies[at[rows]]), own.column("vec"), pa.array(home[rows]), pa.array(leaf), pa.array(asks), lists]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "copies", "vec", "home", "leaf", "asks", "lists"])
 
     return run
 
 
-def _link(least: float, kind: type):
-    def run(group: pa.Table) -> pa.RecordBatch | None:
-        n = group.num_rows
-        if n < 2:
-            return None
-        leaf, bi, bj = (group.column(c)[0].as_py() for c in ("leaf", "bi", "bj"))
-        x = _unit(matrix(group.column("vec").to_pylist(), kind))
-        copies, node = group.column("copies").to_numpy(), group.column("node").to_numpy()
-        side = group.column("side").to_numpy()
-        lists = group.column("leaves").to_pylist()
-        width = max(map(len, lists))
-        table = np.full((n, width), np.iinfo(np.int64).max)
-        for i, v in enumerate(lists):
-            table[i, : len(v)] = v
-        earlier = np.where(table < leaf, table, -1 - np.arange(n)[:, None])  # fillers match nothing
-        links, label, hit_any = np.zeros(n, np.int64), np.arange(n), []
-        for i in range(0, n, 256):
-            near = x[i : i + 256] @ x.T >= least
-            a, b = np.nonzero(near)
-            a = a + i
-            keep = (a < b) if bi == bj else ((side[a] == bi) & (side[b] == bj))
-            a, b = a[keep], b[keep]
-            for s in range(0, len(a), 1 << 16):
-                p, q = a[s : s + (1 << 16)], b[s : s + (1 << 16)]
-                before = np.zeros(len(p), bool)
-                for w in range(width):
-                    own = earlier[p, w]
-                    before |= (own[:, None] == earlier[q]).any(1)
-                p, q = p[~before], q[~before]
-                links += np.bincount(p, copies[q], n).astype(np.int64) + np.bincount(q, copies[p], n).astype(np.int64)
-                for u, v in zip(*_forest(p, q, label)):
-                    hit_any.append((u, v))
-        some = np.flatnonzero(links)
-        if not len(some):
-            return None
-        a = np.array([u for u, _ in hit_any], np.int64)
-        b = np.array([v for _, v in hit_any], np.int64)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate((node[some], node[a]))), pa.array(np.concatenate((links[some], np.zeros(len(a), np.int64)))), pa.array(np.concatenate((node[some], node[b])))],
-            ["node", "links", "other"],
-        )
-
-    return run
+class _Held:
+    """A cell's vectors, in lists; ``answer`` counts the links of those that ask, and their own."""
+
+    def __init__(self, table: pa.Table, kind: type, least: float, leaf: int, spill: float | None):
+        self.kind, self.least, self.last = kind, least, None
+        node = table.column("node").to_numpy()  # rising
+        first = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
+        copies = np.add.reduceat(table.column("copies").to_numpy(), first)
+        table = table.take(pa.array(first)).combine_chunks()
+        self.cell = table.column("leaf")[0].as_py()
+        x = flat(table.column("vec"), kind)
+        u = np.empty(x.shape, np.float32)
+        for i in range(0, len(x), 8192):
+            u[i : i + 8192] = _unit(x[i : i + 8192].astype(np.float64))
+        self.margin = 1.75 * (spill or _spill(least, x.shape[1]))
+        some = u[:: max(1, len(u) // 20_000)]
+        self.lists = Cells(some.astype(np.float64), max(2, leaf * len(some) // len(u)) if len(u) > 4 * leaf else len(u), np.random.default_rng(len(u)))
+        home, _, _ = self.lists.near(u, 0.0)
+        order = np.argsort(home, kind="stable")
+        self.node, self.copies, self.x, self.u = node[first][order], copies[order], x[order], u[order]
+        self.starts = np.searchsorted(home[order], np.arange(len(self.lists.centroids) + 1))
+        lists = table.column("lists").combine_chunks().take(pa.array(order))
+        # Pairs (vector, cell where it asks) as sorted numbers.
+        cell = lists.flatten().to_numpy()
+        self.asked, cell = np.unique(cell, return_inverse=True)
+        self.pairs = np.sort(np.repeat(np.arange(len(order)), lists.value_lengths().to_numpy()) * len(self.asked) + cell)
+        self.label = np.arange(len(order))
+
+    def own(self) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(self.node), 8192):
+            at = np.arange(i, min(i + 8192, len(self.node)))
+            yield from self._links(self.node[at], self.copies[at], self.x[at], self.u[at], np.full(len(at), self.cell), at)
+
+    def answer(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        x = flat(batch.column("vec"), self.kind)
+        u = _unit(x.astype(np.float64)).astype(np.float32)
+        node = batch.column("node").to_numpy()
+        yield from self._links(node, batch.column("copies").to_numpy(), x, u, batch.column("home").to_numpy(), None)
+
+    def _links(self, node, copies, x, u, home, own, cells: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+        again = np.zeros(len(node), bool)  # an asking vector that comes in parts is told its links once
+        if own is None:
+            again = np.append(node[0] == self.last, node[1:] == node[:-1])
+            self.last = node[-1]
+        n = len(self.node)
+        place = n + np.arange(len(node)) if own is None else own
+        label = np.concatenate((self.label, n + np.arange(len(node)))) if own is None else self.label
+        mine, theirs = np.zeros(len(node), np.int64), np.zeros(n, np.int64)
+        us: list[int] = []
+        vs: list[int] = []
+        _, rows, lists = self.lists.near(u, self.margin)
+        order = np.argsort(lists, kind="stable")
+        rows, lists = rows[order], lists[order]
+        other = np.searchsorted(self.asked, home)
+        known = np.append(self.asked, np.iinfo(np.int64).max)[other] == home
+        for l in np.unique(lists):
+            a, b = int(self.starts[l]), int(self.starts[l + 1])
+            if a == b:
+                continue
+            asks = rows[np.searchsorted(lists, l) : np.searchsorted(lists, l, "right")]
+            step = max(1, cells // (b - a))
+            for i in range(0, len(asks), step):
+                q = asks[i : i + step]
+                v = u[q] @ self.u[a:b].T
+                hit = np.flatnonzero(v >= np.float32(self.least - 1e-5))
+                if not len(hit):
+                    continue
+                p, e = np.divmod(hit, b - a)
+                v, p, e = v.ravel()[hit], q[p], e + a
+                close = np.flatnonzero(v <= self.least + 1e-5)
+                if len(close):
+                    good = np.ones(len(p), bool)
+                    for j in range(0, len(close), 8192):
+                        at = close[j : j + 8192]
+                        good[at] = np.einsum("ij,ij->i", _unit(x[p[at]].astype(np.float64)), _unit(self.x[e[at]].astype(np.float64))) >= self.least
+                    p, e = p[good], e[good]
+                inside = home[p] == self.cell
+                there = np.zeros(len(p), bool)  # counted in the cell of the one that asks
+                out = np.flatnonzero(~inside & known[p] & (home[p] < self.cell))
+                if len(out):
+                    key = e[out] * len(self.asked) + other[p[out]]
+                    at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+                    there[out] = self.pairs[at] == key
+                keep = np.where(inside, self.node[e] < node[p], ~there)
+                p, e = p[keep], e[keep]
+                theirs += np.bincount(e, copies[p], n).astype(np.int64) if len(e) else 0
+                mine += np.bincount(p, self.copies[e] * ~again[p], len(node)).astype(np.int64) if len(p) else 0
+                for s in range(0, len(p), 1 << 18):
+                    f, t = _forest(place[p[s : s + (1 << 18)]], e[s : s + (1 << 18)], label)
+                    us += f
+                    vs += t
+        self.label = label[:n]
+        every = np.concatenate((self.node, node)) if own is None else self.node
+        got, has = np.flatnonzero(mine), np.flatnonzero(theirs)
+        if len(got) or len(has):
+            a, b = every[np.array(us, np.int64)], every[np.array(vs, np.int64)]
+            names = np.concatenate((node[got], self.node[has], a))
+            links = np.concatenate((mine[got], theirs[has], np.zeros(len(a), np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(links), pa.array(np.concatenate((node[got], self.node[has], b)))], ["node", "links", "other"])
 
 
 def _forest(p: np.ndarray, q: np.ndarray, label: np.ndarray) -> tuple[list[int], list[int]]:
@@ -181,18 +229,12 @@ def _forest(p: np.ndarray, q: np.ndarray, label: np.ndarray) -> tuple[list[int],
 
 
 def _spill(least: float, dimension: int) -> float:
-    return 0.5 * float(np.sqrt((2 - 2 * least) / dimension))
-
+    return 2.25 * float(np.sqrt((2 - 2 * least) / dimension))
 
-def _grow_on(leaf: int, spill: float | None, least: float, seed: int):
-    def fit(x: np.ndarray, rows: int) -> Forest:
-        return Forest(_unit(x), 1, max(8, int(leaf * len(x) / max(rows, 1))), spill or _spill(least, x.shape[1]), np.random.default_rng(seed), 0)
 
-    return fit
-
-
-def _into_leaves(forest: Forest, x: np.ndarray) -> tuple[list, bool]:
-    return [np.array(v, np.int64) for v in forest.leaves(_unit(x))], forest.next > 1
+def _blocks(held: DataFrame, block: int) -> DataFrame:
+    """The number of blocks (leaf, blocks) that each cell's vectors (leaf, …) are dealt out to."""
+    return held.groupBy("leaf").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
 
 
 def near_duplicates(
@@ -201,57 +243,46 @@ def near_duplicates(
     vector_col: str = "embedding",
     *,
     least: float = 0.95,
-    trees: int = 7,
     leaf: int = 512,
     spill: float | None = None,
     sample: int = 20_000,
-    block: int = 4096,
+    block: int | None = None,
     seed: int = 9,
 ) -> DataFrame:
     """Rows (vec_id, n_links, component_id, kept), one for each row of df; see the module's notes."""
     rows, kind = encoded(df, id_col, vector_col)
-    rows = store(rows)
-    classes = store(rows.where("vec is not null").groupBy("node").agg(F.min("vec").alias("vec"), F.count("*").alias("copies"), F.min("vec_id").alias("least")))
-    n = classes.count()
-    drawn = classes.select("node", "vec").orderBy(F.xxhash64("node", F.lit(seed)), "node").limit(sample).collect()
-    rng, forests, first = np.random.default_rng(seed), {}, 0
-    for d in sorted({len(r.vec) for r in drawn}):
-        x = _unit(matrix([bytes(r.vec) for r in drawn if len(r.vec) == d], kind))
-        forest = Forest(x, trees, max(8, int(leaf * len(drawn) / max(n, 1))), spill or _spill(least, x.shape[1]), rng, first)
-        forests[d // np.dtype(kind).itemsize] = forest
-        first = forest.next
-    fallen = store(classes.mapInArrow(_fall(forests, kind), "node long, copies long, vec binary, leaves array<long>"))
-    posted = fallen.select("node", "copies", "vec", F.explode("leaves").alias("list"), F.lit(False).alias("done"))
-    level = 0
-    while level < 40 and not (large := long_lists(posted, 4 * leaf)).isEmpty():
-        level += 1
-        large = store(large)
-        models = fit_lists(posted, large, _grow_on(leaf, spill, least, seed + level), kind, min(sample, 8192), seed + level)
-        split = models.select(F.col("list").alias("m"))
-        deeper = place(posted.join(split, F.col("list") == F.col("m"), "left_semi"), models, ["node", "copies"], kind, _into_leaves)
-        posted = store(posted.join(split, F.col("list") == F.col("m"), "left_anti").unionByName(deeper).dropDuplicates(["list", "node"]))
-    if level:
-        own = posted.groupBy(F.col("node").alias("of")).agg(F.sort_array(F.collect_set("list")).alias("leaves"))
-        fallen = store(classes.select("node", "copies", "vec").join(own, F.col("node") == F.col("of")).drop("of"))
-    placed = fallen.withColumn("leaf", F.explode("leaves"))
-    sizes = fallen.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.count("*").alias("n_leaf")).where("n_leaf > 1")
-    keys = ["leaf", "bi", "bj"]
-    found = store(
-        _blocks(placed.join(sizes, "leaf"), ["leaf"], "n_leaf", "node", block)
-        .select(*keys, "side", "node", "copies", "vec", "leaves")
-        .repartition(*keys)
-        .sortWithinPartitions(*keys)
-        .mapInArrow(_grouped(keys, _link(least, kind)), "node long, links long, other long")
-    )
+    valid = rows.where("vec is not null").select("node", "vec")
+    rows = store(rows.select("vec_id", "node"))
+    n = rows.where("node is not null").count()
+    chosen = store(rows.where("node is not null").select("node").distinct().orderBy(F.xxhash64("node", F.lit(seed)), "node").limit(sample))
+    drawn = {r.node: bytes(r.vec) for r in valid.join(F.broadcast(chosen), "node").groupBy("node").agg(F.min("vec").alias("vec")).orderBy("node").collect()}
+    item, rng, cells, base = np.dtype(kind).itemsize, np.random.default_rng(seed), {}, 0
+    widest = max(map(len, drawn.values()), default=item)
+    wanted = n / leaf if n <= CELLS * leaf else max(CELLS // 4, n * widest / GROUP_BYTES)
+    for width in sorted({len(v) for v in drawn.values()}):
+        x = _unit(matrix([v for v in drawn.values() if len(v) == width], kind))
+        index = Cells(x, max(1, -int(-len(drawn) // max(wanted, 1))), rng)
+        cells[width // item] = (index, base, spill or _spill(least, x.shape[1]))
+        base += len(index.centroids)
+    posted = valid.mapInArrow(_post(cells, kind), "node long, copies long, vec binary, home long, leaf long, asks boolean, lists array<long>")
+    sizes = store(_blocks(posted.where("not asks"), block or max(4096, 2 * GROUP_BYTES // widest)))
+    side = F.pmod(F.xxhash64("node", F.lit(17)), F.col("blocks")).cast("int")
+    dealt = posted.join(F.broadcast(sizes), "leaf").withColumn("side", side)
+    # Where a cell has several blocks, a vector that one of them holds asks in the others.
+    dealt = dealt.withColumn("part", F.explode(F.when(F.col("blocks") > 1, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("side"))))
+    dealt = dealt.withColumn("asks", F.col("asks") | (F.col("part") != F.col("side"))).select("leaf", "part", "asks", "node", "copies", "vec", "home", "lists")
+    run = streamed(["leaf", "part"], lambda table: _Held(table, kind, least, leaf, spill), lambda held, batch: held.answer(batch), lambda held: held.own())
+    found = store(dealt.repartition("leaf", "part").sortWithinPartitions("leaf", "part", "asks", "node").mapInArrow(run, "node long, links long, other long"))
     roots = components(found.where("links = 0").select(F.col("node").alias("a"), F.col("other").alias("b")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    labelled = classes.select("node", "copies", "least").join(links, "node", "left").join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
+    classes = rows.where("node is not null").groupBy("node").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"))
+    labelled = classes.join(links, "node", "left").join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
     labelled = labelled.select("node", "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "node").alias("root"))
     smallest = labelled.groupBy("root").agg(F.min("least").alias("component"))
     label = store(labelled.join(smallest, "root").select("node", "n_links", "component"))
-    for t in (fallen, found, roots, classes):
+    for t in (chosen, sizes, found, roots):
         drop(t)
     component = F.coalesce("component", "vec_id")
-    return rows.select("vec_id", "node").join(label, "node", "left").select(
+    return rows.join(label, "node", "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept")
     )

@@ -361,6 +361,30 @@ def test_embedding_dedup(spark, vectors):
     assert embedding_dedup.near_duplicates(spark.createDataFrame(vectors, VECTORS).limit(0)).count() == 0
 
 
+def test_embedding_dedup_deals_out_few_copies(spark, monkeypatch):
+    """A vector goes to a bounded number of tasks, however finely the table is split; links are whole."""
+    rng = np.random.default_rng(17)
+    x = rng.standard_normal((4000, 64))
+    x[2000:3000] = x[:1000] + 0.25 * rng.standard_normal((1000, 64))  # cosines about 0.97
+    x[3000:3100] = x[1500]
+    x = x.astype(np.float32)
+    df = spark.createDataFrame([(i, v, 0) for i, v in enumerate(x.tolist())], VECTORS)
+    dealt = []
+
+    def repartition(self, *keys, inner=type(df).repartition):
+        if "vec" in self.columns:
+            dealt.append(self.count())
+        return inner(self, *keys)
+
+    monkeypatch.setattr(type(df), "repartition", repartition)
+    out = {r.vec_id: r for r in embedding_dedup.near_duplicates(df, leaf=16).collect()}
+    unit = x / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.95
+    assert [out[i].n_links for i in range(len(x))] == (near.sum(1) - 1).tolist()
+    assert [out[i].component_id for i in range(len(x))] == near.argmax(1).tolist()
+    assert sum(dealt) < 12 * len(x), dealt
+
+
 def test_ann(spark, vectors):
     df = spark.createDataFrame(vectors, VECTORS)
     rows = ann.search(df, F.col("vec_id") % 20 == 0, size=32, block=64).collect()
