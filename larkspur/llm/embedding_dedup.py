@@ -39,11 +39,14 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.ann import Lists
 from larkspur.llm.common import components, drop, store
-from larkspur.llm.vectors import GROUP_BYTES, encoded, flat, matrix, streamed
+from larkspur.llm.vectors import encoded, flat, matrix, smallest_hashes, streamed
 
 #: So many cells at most have about ``leaf`` vectors each; tables that need more have cells of some 64 MB, this number's quarter at least.
 CELLS = 256
 
+#: About how many bytes of vectors a cell of a larger table has.
+CELL_BYTES = 64 << 20
+
 
 def _unit(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(1, keepdims=True)  # so that the squares neither vanish nor overflow
@@ -254,18 +257,19 @@ def near_duplicates(
     valid = rows.where("vec is not null").select("node", "vec")
     rows = store(rows.select("vec_id", "node"))
     n = rows.where("node is not null").count()
-    chosen = store(rows.where("node is not null").select("node").distinct().orderBy(F.xxhash64("node", F.lit(seed)), "node").limit(sample))
+    nodes = rows.where("node is not null").select("node").distinct()
+    chosen = store(smallest_hashes(nodes, nodes.count(), sample, seed, "node"))
     drawn = {r.node: bytes(r.vec) for r in valid.join(F.broadcast(chosen), "node").groupBy("node").agg(F.min("vec").alias("vec")).orderBy("node").collect()}
     item, rng, cells, base = np.dtype(kind).itemsize, np.random.default_rng(seed), {}, 0
     widest = max(map(len, drawn.values()), default=item)
-    wanted = n / leaf if n <= CELLS * leaf else max(CELLS // 4, n * widest / GROUP_BYTES)
+    wanted = n / leaf if n <= CELLS * leaf else max(CELLS // 4, n * widest / CELL_BYTES)
     for width in sorted({len(v) for v in drawn.values()}):
         x = _unit(matrix([v for v in drawn.values() if len(v) == width], kind))
         index = Cells(x, max(1, -int(-len(drawn) // max(wanted, 1))), rng)
         cells[width // item] = (index, base, spill or _spill(least, x.shape[1]))
         base += len(index.centroids)
     posted = valid.mapInArrow(_post(cells, kind), "node long, copies long, vec binary, home long, leaf long, asks boolean, lists array<long>")
-    sizes = store(_blocks(posted.where("not asks"), block or max(4096, 2 * GROUP_BYTES // widest)))
+    sizes = store(_blocks(posted.where("not asks"), block or max(4096, 2 * CELL_BYTES // widest)))
     side = F.pmod(F.xxhash64("node", F.lit(17)), F.col("blocks")).cast("int")
     dealt = posted.join(F.broadcast(sizes), "leaf").withColumn("side", side)
     # Where a cell has several blocks, a vector that one of them holds asks in the others.
